@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, urlfilter
+from . import fingerprints, linededup, mixing, quality, sentencepiece, sharding, simhash, urlfilter
 from .common import documents, pages
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source", "source_size", "target", "taken", "position"
@@ -27,10 +34,22 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(documents(spark, sf_dir))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
