@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, linededup, mixing, quality, sentencepiece, sharding, simhash, urlfilter
+from . import fingerprints, html, linededup, mixing, quality, sentencepiece, sharding, simhash, toxicity, urlfilter
 from .common import documents, pages
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
@@ -38,6 +42,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(documents(spark, sf_dir))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(pages(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(documents(spark, sf_dir))
 
@@ -46,10 +54,12 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
