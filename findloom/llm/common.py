@@ -21,12 +21,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where the session has none, as in local tests, a temporary folder is set as its checkpoint folder.
+    Where that is unset, as in local tests, the context's checkpoint folder, or a temporary one that becomes it.
     """
     context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="findloom-")
         context.setCheckpointDir(found)
@@ -36,47 +36,59 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    This cuts the lineage: the rows survive the loss of any executor and are computed once.
+    This cuts the lineage: the rows survive the loss of any executor and are computed once. ``release``
+    removes the files; ``release_all`` those of all operators, once no result is needed any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/findloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._findloom_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a materialized table that nothing reads any more."""
+    _remove(df.sparkSession, df._findloom_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove every table that operators have written to the shared folder."""
+    _remove(spark, f"{shared_dir(spark)}/findloom")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: distributed union-find by alternating stars.
 
     ``edges`` has columns ``a`` and ``b`` of one orderable type without nulls. Returns ``node`` and
-    ``root`` (the least node of its component) for every node of an edge; no edge gives no rows. A
-    node with very many edges is safe: minima are aggregated before the shuffle and joined back by
-    joins that Spark can split.
+    ``root`` (the least node of its component) for every node of an edge between two nodes; no such edge
+    gives no rows. A node with very many edges is safe: minima are aggregated before the shuffle and
+    joined back by joins that Spark can split. Each round is written to the shared folder, and ends the
+    search if its links are those of the round before (equal counts and sums of their hashes).
     """
+
+    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+        out = materialize(links.distinct(), "links")
+        mark = out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).head()
+        return out, tuple(mark)
+
     ends = edges.filter("a <> b")
-    links = materialize(
-        ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    while True:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
-            links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        roots = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(roots, "a")
-        small = (
-            small.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
-            .select(F.col("x.a").alias("a"), F.col("x.m").alias("b"))
-            .filter("a <> b")
-            .distinct()
-        )
-        after = materialize(small, "links")
-        # A star keeps its links for good, so equal sets of links mean that every component is one.
-        if links.exceptAll(after).isEmpty() and after.exceptAll(links).isEmpty():
+    links, mark = written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while mark[0]:
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
+        after, now = written(small.select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).filter("a <> b"))
+        release(links)
+        links, before, mark = after, mark, now
+        if before == mark:
             break
-        links = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

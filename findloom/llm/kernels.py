@@ -100,6 +100,16 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def again(keys: np.ndarray) -> np.ndarray:
+    """Whether an equal key stands before each key."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.argsort(keys, kind="stable")
+    found = np.zeros(len(keys), bool)
+    found[order[1:]] = keys[order][1:] == keys[order][:-1]
+    return found
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a column's texts; a null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()]

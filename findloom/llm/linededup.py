@@ -3,84 +3,170 @@
 Distinct lines get MinHash signatures of their character shingles; lines that share a band are
 candidates, checked by exact Jaccard likeness; links are joined by distributed union-find, and of each
 component the earliest line stays. Shingles are the ``WIDTH`` characters from each start of a word on,
-so that a signature costs a row per word instead of one per character.
+so that a line costs a row per word instead of one per character.
+
+A shingle is hashed once, to h; its hash by permutation i is h xor a constant, and the least of these
+over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives all its pairs. Larger ones
+give pairs with three of their lines only; where that leaves a bucket in several components, the pairs
+across components that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which loses
+none. So no group of alike lines is compared pair by pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 
 WIDTH, THRESHOLD = 12, 0.8
 #: At a likeness of 0.8, eight bands of three miss 0.3 % of pairs; at 0.9, under one in a million.
 BANDS, ROWS = 8, 3
-#: In a bucket, a line is compared with so many neighbours on its left, by the rest of its signature, and with the first.
-NEIGHBOURS = 4
+#: Lines of a bucket that is compared pair by pair.
+SMALL = 16
+_GOLDEN = 0x9E3779B97F4A7C15
+_WORD, _SPACE = r"[^\x20\x09-\x0D]", r"\x20\x09-\x0D"
+
+
+def _constant(i: int) -> Column:
+    value = (i + 1) * _GOLDEN % (1 << 64)
+    return F.lit(value - (1 << 64) if value >> 63 else value)
 
 
 def _shingles(line: Column) -> Column:
     """The ``WIDTH`` characters from each start of a word on; fewer at the end."""
-    return F.regexp_extract_all(line, F.lit(rf"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D][\s\S]{{0,{WIDTH - 1}}}))"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?=({_WORD}[\s\S]{{0,{WIDTH - 1}}})){_WORD}+"), F.lit(1))
+
+
+def _second(column: str) -> Column:
+    return F.xxhash64(F.lit("findloom"), F.col(column))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines with a word: doc_id, line_no (from 0), line, and id, 128 bits of hash that stand for the text."""
+    """Lines with a word: doc_id, line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
-    ident = F.concat(F.hex(F.xxhash64("line")), F.lit(":"), F.hex(F.xxhash64(F.lit("findloom"), F.col("line"))))
-    return lines.withColumn("id", ident)
+    lines = lines.filter(F.rlike("line", F.lit(_WORD)))
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": _second("line")})
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """Distinct lines: k1, copies, and keys, the hash of each band. Equal lines meet in the one shuffle here."""
+    distinct = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.count("*").alias("copies"))
+    shingles = distinct.select("k1", "k2", "copies", F.explode(_shingles(F.col("line"))).alias("s"))
+    hashed = shingles.select("k1", "k2", "copies", F.xxhash64("s").alias("h"))
+    mins = [F.min(F.col("h").bitwiseXOR(_constant(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    signed = hashed.groupBy("k1", "k2").agg(F.max("copies").alias("copies"), *mins)
+    bands = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
+    return signed.select("k1", "copies", F.array(*bands).alias("keys"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different lines, the lesser first, each once."""
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(lines: DataFrame) -> DataFrame:
-    """Links (a, b) between ids of lines whose Jaccard likeness is ``THRESHOLD`` or more.
+def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, node (the line's name among components) and s, the set of its shingles' hashes, of the lines in ``wanted`` (k1)."""
+    texts = lines.select("k1", "k2", "line").join(wanted.distinct(), "k1", "left_semi")
+    texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    hashes = F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))
+    return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
 
-    One shuffle brings equal lines together; signatures are sums by the same key and need none. A
-    bucket is ordered by the rest of the signature: alike lines stand side by side, and each is
-    compared with its neighbours and with the bucket's first line, so that a bucket of any size costs
-    as much as its rows. All pairs of a bucket of up to ``NEIGHBOURS`` + 2 lines are compared.
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose Jaccard likeness is ``THRESHOLD`` or more, as links (a, b) of nodes."""
+    side = lambda c: sets.select(F.col("k1").alias(c), F.col("node").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)
+    return both.filter(alike).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs across components, in buckets (key, k1, component), that can reach ``THRESHOLD``.
+
+    Of two lines that alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
+    other's, in any order of shingles that both share; here the order is by how many of the bucket's lines have one. Where a shingle's lines are
+    mostly of one component, only those of the others are joined with all.
     """
-    distinct = lines.groupBy("id").agg(F.first("line").alias("line"))
-    exploded = distinct.select("id", F.explode(_shingles(F.col("line"))).alias("s"))
-    mins = [F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = exploded.groupBy("id").agg(*mins)
-    band = lambda k: F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)])
-    rest = lambda k: F.col(f"m{(k + 1) % BANDS * ROWS}")
-    keyed = signed.select("id", F.explode(F.array(*[F.struct(band(k).alias("key"), rest(k).alias("rest")) for k in range(BANDS)])).alias("x"))
-    keyed = keyed.select("id", "x.key", "x.rest")
-    order = Window.partitionBy("key").orderBy("rest", "id")
-    others = F.array(F.first("id").over(order), *[F.lag("id", i).over(order) for i in range(1, NEIGHBOURS + 1)])
-    near = keyed.withColumn("others", F.array_except(F.array_compact(others), F.array("id"))).filter("size(others) > 0")
-    pairs = near.select(F.col("id").alias("a"), F.explode("others").alias("b"))
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    sets = texts.select("id", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s"))
-    sets = materialize(sets, "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"
+    tokens = members.join(sets.select("k1", F.size("s").alias("n"), F.explode("s").alias("token")), "k1")
+    spread = tokens.groupBy("key", "token").agg(F.count("*").alias("df")).withColumnsRenamed({"key": "key_", "token": "token_"})
+    ranked = tokens.join(spread, (F.col("key") == F.col("key_")) & (F.col("token") == F.col("token_")))
+    order = F.array_sort(F.collect_list(F.struct("df", "token")))
+    rare = ranked.groupBy("key", "k1", "component", "n").agg(order.alias("all"))
+    most = F.floor(F.col("n") * (1 - THRESHOLD) + 1e-9).cast("int") + 1
+    rare = rare.select("key", "k1", "component", "n", F.explode(F.slice("all.token", F.lit(1), most)).alias("token"))
+    by = rare.groupBy("key", "token", "component").agg(F.count("*").alias("c"))
+    by = by.groupBy("key", "token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    shared = rare.join(by, ["key", "token"])
+    left = shared.filter("component <> main").select("key", "token", F.col("k1").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    right = shared.select("key", "token", F.col("k1").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+    return _ordered(left.join(right, ["key", "token"]).filter(near).select("a", "b"))
+
+
+def _components(lines: DataFrame) -> DataFrame:
+    """Components (node, root) of the lines that are like others."""
+    signed = materialize(_signed(lines), "signatures")
+    keyed = signed.select("k1", "copies", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")
+    ).filter("n > 1")
+    buckets = materialize(buckets, "buckets")
+    more = materialize(keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
+    small = more.filter(F.col("n") <= SMALL)
+    large = more.filter(F.col("n") > SMALL)
+    tops = large.groupBy("key").agg(F.max_by("k1", F.struct("copies", "k1")).alias("top"))
+    hubs = buckets.filter(F.col("n") > SMALL).join(tops, "key").select("key", F.explode(F.array_distinct(F.array("top", "low", "high"))).alias("a"))
+    pairs = (
+        buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        .unionAll(small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b").select("a", "b"))
+        .unionAll(large.select("key", F.col("k1").alias("b")).join(hubs, "key").select("a", "b"))
     )
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    pairs = materialize(_ordered(pairs), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1"))
+    sets = materialize(_sets(lines, wanted), "shingles")
+    links = materialize(_verified(pairs, sets), "verified")
+    parts = connected_components(links)
+
+    named = sets.select("k1", "node").join(parts, "node", "left").select("k1", F.coalesce("root", "node").alias("component"))
+    mixed = large.select("key", "k1").join(named, "k1")
+    split = mixed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("key")
+    mixed = materialize(mixed.join(split, "key"), "mixed")
+    if not mixed.isEmpty():
+        parts = connected_components(links.unionAll(_verified(materialize(_across(mixed, sets), "across"), sets)))
+    for table in (signed, buckets):
+        release(table)
+    return parts
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """Lines with a word: doc_id, line_no and kept.
 
-    Of the lines of a component, that of the smallest doc_id and then line_no is kept; of repeated
-    rows of one document, the first that a task meets. Equal lines, how many there may be, are merged
-    by partial minima before anything is sought.
+    Of the lines of a component, and of equal lines, that of the smallest doc_id and then line_no is kept; null
+    ids come last. Rows of one doc_id are one document: its lines of one number go or stay together.
     """
     lines = lines_of(docs)
-    parts = connected_components(_links(lines)).withColumnsRenamed({"node": "__node"})
-    spots = lines.select("doc_id", "line_no", "id").join(parts, F.col("id") == F.col("__node"), "left")
-    spots = spots.select("doc_id", "line_no", F.coalesce("root", "id").alias("root"))
-    spots = materialize(spots, "spots")
-    first = spots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")).alias("f"))
-    first = first.select(F.col("root").alias("__root"), F.col("f.doc_id").alias("__doc"), F.col("f.line_no").alias("__line"))
-    placed = spots.join(first, F.col("root") == F.col("__root"))
-    return placed.select("doc_id", "line_no", (F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line"))).alias("kept"))
+    parts = _components(lines)
+    name = F.split("node", ":")
+    number = lambda i: F.conv(F.get(name, F.lit(i)), 16, -10).cast("bigint")
+    parts = parts.select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
+    spots = lines.select("doc_id", "line_no", "k1", "k2")
+    spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
+    spots = materialize(spots.select("doc_id", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
+    spot = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")
+    first = spots.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(spot).alias("f")).filter("n > 1")
+    first = first.select(F.col("r1").alias("f1"), F.col("r2").alias("f2"), F.col("f.doc_id").alias("__doc"), F.col("f.line_no").alias("__line"))
+    placed = spots.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line"))
+    return placed.select("doc_id", "line_no", (F.col("__line").isNull() | same).alias("kept"))
+
+
+def _by_document(docs: DataFrame) -> DataFrame:
+    """__id, __n (lines with a word) and __gone (numbers of those that go) of each document that has lines."""
+    return line_classes(docs).groupBy(F.col("doc_id").alias("__id")).agg(
+        F.size(F.collect_set("line_no")).alias("__n"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone")
+    )
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -88,15 +174,11 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; repeated rows of one
     doc_id share a row; other columns are dropped; empty input gives an empty result.
     """
-    found = line_classes(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("dropped")
-    )
-    ids = docs.select(F.col("doc_id").alias("__id")).distinct()
-    return ids.join(found, F.col("__id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("__id").alias("doc_id"),
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+    ids = docs.select("doc_id").distinct()
+    found = ids.join(_by_document(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    gone = F.coalesce(F.sort_array("__gone"), F.array().cast("array<int>"))
+    return found.select(
+        "doc_id", F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped")
     )
 
 
@@ -106,13 +188,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Columns stay as they are; n_chars, where there is one, is set anew. Documents that had no line with
     a word before are kept as they are.
     """
-    gone = line_classes(docs).groupBy("doc_id").agg(
-        F.count("*").alias("__n"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone")
-    ).filter("size(__gone) > 0")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    gone = _by_document(docs).filter("size(__gone) > 0")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = joined.filter("__id is null or size(__gone) < __n").withColumn("text", text)
+    text = F.when(F.col("__n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rows = joined.filter("__n is null or size(__gone) < __n").withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,8 @@
 """Quality rules: repetition coverage by rolling hashes.
 
-Words, lines and n-grams of a batch of texts are hashed in numpy; an n-gram found twice or more in
-its text covers its words, and the share of the text's word characters that is covered decides.
+Words, lines and n-grams of a batch of texts are hashed in numpy. An n-gram that its text has had
+before covers its words, and the share of the text's word characters that is covered decides; the
+same holds for lines. The first of equal n-grams or lines covers nothing: it repeats nothing.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Texts, chunks, mix, repeated, texts_of, whitespace_table, with_columns
+from .kernels import Texts, again, chunks, mix, repeated, texts_of, whitespace_table, with_columns
 
-#: Length of n-gram -> most percent of the word characters that repeated ones may cover.
+#: Length of n-gram -> most percent of the word characters that n-grams found earlier in the text may cover.
 COVERAGE = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Most percent of the characters of lines that stand in lines equal to an earlier one.
 LINE_COVERAGE = 30
@@ -45,8 +46,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     line_owner = np.searchsorted(batch.start, line_start, "right") - 1
     salt = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     keys = batch.span_hash(line_start, line_end) ^ salt[line_owner]
-    later = np.ones(len(keys), bool)
-    later[np.unique(keys, return_index=True)[1]] = False
+    later = again(keys)
     line_chars = batch.span_chars(line_start, line_end)
     out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n).astype(np.int64)
     out["line_chars"], out["dup_line_chars"] = add(line_owner, line_chars), add(line_owner[later], line_chars[later])
@@ -64,10 +64,9 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         found = repeated(gram)
         at, gram = at[found], gram[found]  # what starts with a unique n-gram is unique
         if size == 3 or size in COVERAGE:
-            mark = np.zeros(len(words) + 1, np.int64)
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + size, -1)
-            covered = np.cumsum(mark)[:-1] > 0
+            begin = at if size == 3 else at[again(gram)]
+            mark = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + size, minlength=len(words) + 1)
+            covered = np.cumsum(mark)[: len(words)] > 0
             if size == 3:
                 out["n_repeat_words"] = np.bincount(owner[covered], minlength=n).astype(np.int64)
             else:

@@ -48,8 +48,9 @@ def lookup_table(shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> list[int
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The slot of a key: 64-bit hash of its text, modulo the table's size; a null key has slot 0."""
-    return F.coalesce(F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)), F.lit(0)).cast("int")
+    """The slot of a key: the first 60 bits of the MD5 of its text, modulo the table's size; a null key has slot 0."""
+    digest = F.substring(F.md5(key.cast("string")), 1, 15)
+    return F.coalesce(F.conv(digest, 16, 10).cast("bigint") % slots, F.lit(0)).cast("int")
 
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -73,5 +74,5 @@ def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, salts: int = 16) -> None:
     """Write one folder of Parquet files per shard; up to ``salts`` tasks share a shard's rows."""
     placed = assign_shards(df, key, shards)
-    salt = F.pmod(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
     placed.repartition(F.col("shard"), salt).write.partitionBy("shard").parquet(path)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,12 +124,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component, the row of the smallest doc_id.
 
-    Of rows that share that doc_id, the one with the least hash stays. Rows
-    with a null doc_id stay.
+    Of rows that share that doc_id, the one with the least hash stays. Rows with a null doc_id stay.
+    Rows of one id are merged by partial minima, so any number of them is safe.
     """
     known = docs.filter("doc_id is not null")
     first = near_duplicates(known).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = known.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = kept.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
-    return once.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
+    return once.select("__row.*").unionAll(docs.filter("doc_id is null"))

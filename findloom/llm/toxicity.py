@@ -1,12 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, share their lowest order: the continuation
-counts of all documents. A document's score comes from the difference of the two log-likelihoods per
-token. Expressions that a class has seen seldom or never fall back to the shared counts, where the
-difference is small.
-
-Words and bigrams are counted by hash. What scoring needs is one table of ``SLOTS`` words and one of
-``SLOTS`` bigrams, whatever the corpus's size: 32 MB in all, the bound of what is broadcast.
+Two models, of toxic and of ordinary documents, give the probability of each byte of a word after up to
+``ORDER`` - 1 bytes before it in the word (the word's start and end count as bytes). Seen expressions
+are discounted, and what the discounts leave goes to backoff counts that both models share: of how many
+different expressions of all documents a byte ends after its last two bytes. An expression seen ``DISCOUNT``
+times or less in a class has nothing but that backoff, so rare ones say little, and in places where neither
+class has evidence the models agree.
+
+A word's evidence is its toxic log-likelihood less its ordinary one, as far as it is over ``MARGIN``;
+the sum over a text's words, divided by their number, becomes the score along a logistic curve. The
+margin keeps the many small differences of ordinary words from drowning a few plain ones.
+
+Words are learnt from ``LABELLED`` labelled documents at most, so the expressions with evidence, which
+are what is broadcast, are bounded by that parameter. The shared counts cover all documents.
 """
 
 from __future__ import annotations
@@ -18,16 +24,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Texts, chunks, mix, texts_of
-
-#: Size of either table, a power of 2. Of several bigrams in a slot, the most frequent has it.
-SLOTS = 1 << 20
-#: Absolute discounts of bigrams and of words.
-DISCOUNT = 0.75
-#: Of the labelled rows that are learnt from, a fifth of all ids isn't counted but calibrates the score,
-#: ``CALIBRATION`` rows of it at most.
-CALIBRATION = 20_000
-TOXIC, ORDINARY, SHARED = 0, 1, 2
+from .common import materialize, release
+from .kernels import chunks, mix, texts_of, with_columns
+
+#: Bytes of an expression, at most 6: it must fit in 48 bits.
+ORDER = 6
+#: Absolute discount of the class counts, and of the shared ones.
+DISCOUNT, SHARED_DISCOUNT = 2, 0.75
+MARGIN = 2.0
+#: Labelled documents that are learnt from, at most (about; picked by a hash of their ids). Those with remainder 4 calibrate.
+LABELLED = 200_000
+#: Added to the mean evidence before its logarithm, in which the curve is logistic.
+FLOOR = 1e-3
+#: Expressions that a task gathers before it merges them.
+GATHERED = 1 << 22
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_BLANK = 32
 
 
 def part_of(doc_id: Column) -> Column:
@@ -36,207 +48,216 @@ def part_of(doc_id: Column) -> Column:
 
 
 def _letters() -> np.ndarray:
-    """1 for each byte of a token: ASCII letters and what isn't ASCII."""
-    table = np.zeros(256, np.uint8)
-    table[65:91] = table[97:123] = table[128:] = 1
+    """Whether each byte is part of a word: ASCII small letters and what isn't ASCII."""
+    table = np.zeros(256, bool)
+    table[97:123] = table[128:] = True
     return table
 
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, and the text of each."""
-    batch = Texts([x.translate(_LOWER) for x in texts])
-    start, end, owner = batch.runs(_letters())
-    return batch.span_hash(start, end), owner
+def expressions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The expressions of all texts, and the text of each.
 
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def _pairs(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigrams within a text: slots of the first and second words, and the text of each."""
-    same = owner[1:] == owner[:-1]
-    slot = _slot(words)
-    return slot[:-1][same], slot[1:][same], owner[1:][same]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (class, key, n) of what a task reads, added up when many have gathered.
-
-    key: the slots of a bigram, 20 bits each. Classes: toxic or ordinary for labelled rows; shared
-    for words of every row, with key the word alone.
+    An expression is a byte of a word, or the blank behind one, and before it up to ``ORDER`` - 1 bytes,
+    as far as the blank before the word. As a number, its last byte is the lowest.
     """
-    held: list[np.ndarray] = []
+    joined = b"\n".join(x.translate(_LOWER) for x in texts) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
+    inside = _letters()[raw]
+    row = np.where(inside, raw, _BLANK).astype(np.int64)
+    before = np.concatenate([[_BLANK], row[:-1]])
+    at = np.flatnonzero(inside | (before != _BLANK))
+    key = row[at]
+    padded = np.concatenate([np.full(ORDER, _BLANK), row])
+    reaches = np.ones(len(at), bool)
+    for k in range(1, ORDER):
+        byte = padded[at + ORDER - k]
+        key |= np.where(reaches, byte, 0) << (8 * k)
+        reaches &= byte != _BLANK
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return key, np.searchsorted(ends, at, "right")
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    toxic, ordinary = (np.bincount(where, np.concatenate([x[i] for x in held]), len(keys)).astype(np.int64) for i in (1, 2))
+    return keys, toxic, ordinary
 
-    def added() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        kind = (keys >> np.int64(60)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys & np.int64((1 << 60) - 1)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-    size = 0
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct expressions of what a task reads, with their counts in toxic and ordinary labelled texts."""
+    held, size = [], 0
     for batch in batches:
         texts, label = texts_of(batch), batch.column(batch.schema.get_field_index("label")).to_pylist()
         for a, b in chunks(texts):
-            words, owner = tokens(texts[a:b])
-            held.append(_slot(words) | np.int64(SHARED << 60))
-            kind = np.array([-1 if x is None else TOXIC if x else ORDINARY for x in label[a:b]], np.int64)
-            first, second, at = _pairs(words, owner)
-            use = kind[at] >= 0
-            held.append((first[use] << np.int64(20) | second[use]) | kind[at[use]] << np.int64(60))
-            size += len(held[-1]) + len(held[-2])
-            if size > 1 << 21:
-                yield added()
-                size = 0
+            key, owner = expressions(texts[a:b])
+            kind = np.array([-1 if x is None else int(x) for x in label[a:b]], np.int64)[owner]
+            held.append(_merged([(key, kind == 1, kind == 0)]))
+            size += len(held[-1][0])
+            if size > GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names=["key", "t", "o"])
+                held, size = [], 0
     if held:
-        yield added()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names=["key", "t", "o"])
+
+
+class Table:
+    """Numbers by 64-bit key: open addressing in arrays, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]  # of several that want a place, the last gets it
+            placed = self.keys[at] == keys[left]
+            self.values[at[placed]] = values[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & (size - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of keys, 0 where there is none, and whether there is one."""
+        at = self._home(keys)
+        there = self.keys[at]
+        found = there == keys
+        out = np.where(found, self.values[at], np.float32(0))
+        left = np.flatnonzero(~found & (there != -1))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]], found[left[hit]] = self.values[at[hit]], True
+            go = ~hit & (there != -1)
+            left, at = left[go], at[go]
+        return out, found
 
 
 class Model:
-    """Log-likelihood differences per token: of each bigram of the table, else of its word and history.
-
-    ``word[w]``: log ratio of the classes' word probabilities. ``history[h]``: log ratio of what the
-    classes leave to words not seen after h. ``bigram``: keys and log ratios by slot, key -1: none.
-    """
-
-    def __init__(self, word: np.ndarray, history: np.ndarray, keys: np.ndarray, ratio: np.ndarray) -> None:
-        self.word, self.history, self.keys, self.ratio = word, history, keys, ratio
-        self.weight, self.base = 1.0, 0.0
-
-    def differences(self, texts: list[bytes]) -> np.ndarray:
-        """Mean difference per token of each text, 0 without tokens."""
-        words, owner = tokens(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        total = np.zeros(len(texts))
-        if len(words):
-            lead = np.ones(len(words), bool)
-            lead[1:] = owner[1:] != owner[:-1]
-            total += np.bincount(owner[lead], self.word[_slot(words[lead])], len(texts))
-            first, second, at = _pairs(words, owner)
-            key = first << np.int64(20) | second
-            slot = _slot(mix(key.astype(np.uint64)))
-            value = np.where(self.keys[slot] == key, self.ratio[slot], self.history[first] + self.word[second])
-            total += np.bincount(at, value, len(texts))
+    """Log-likelihood differences of expressions, of what a history leaves to the backoff, and the curve."""
+
+    def __init__(self, seen: Table, history: Table, weight: float = 1.0, base: float = 0.0) -> None:
+        self.seen, self.history, self.weight, self.base = seen, history, weight, base
+
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """Mean evidence of the words of each text, 0 without words."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        key, owner = expressions(texts)
+        if len(key):
+            value, found = self.seen.find(key)
+            rest = np.flatnonzero(~found)
+            value[rest] = self.history.find(key[rest] >> np.int64(8))[0]
+            starts = np.flatnonzero((key >> np.int64(8)) == _BLANK)
+            word = np.add.reduceat(value.astype(np.float64), starts)
+            total = np.bincount(owner[starts], np.maximum(word - MARGIN, 0), len(texts))
+            n = np.bincount(owner[starts], minlength=len(texts))
         return total / np.maximum(n, 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.base + self.weight * self.differences(texts), -30, 30)))
-
-
-def _tables(counts: DataFrame) -> Model:
-    """Kneser-Ney probabilities from the counts. Only sums by word slot, and the most frequent bigram of
-    each bigram slot, reach the driver: ``SLOTS`` rows each at most, packed by ranges of slots."""
-    pairs = counts.filter(f"kind <> {SHARED}").groupBy("key").agg(
-        F.sum(F.when(F.col("kind") == TOXIC, F.col("n"))).alias("t"), F.sum(F.when(F.col("kind") == ORDINARY, F.col("n"))).alias("o")
-    ).na.fill(0)
-    pairs = pairs.select("key", "t", "o", F.shiftright("key", 20).alias("h"), F.col("key").bitwiseAND(SLOTS - 1).alias("w"))
-    by_word = lambda c, **sums: pairs.groupBy(c).agg(*[x.alias(k) for k, x in sums.items()])
-    seen = lambda c: F.count_if(F.col(c) > 0)
-
-    def arrays(df: DataFrame, key: str, names: list[str]) -> dict[str, np.ndarray]:
-        found = df.toArrow()
-        at = found.column(key).to_numpy().astype(np.int64)
-        out = {}
-        for name in names:
-            out[name] = np.zeros(SLOTS)
-            out[name][at] = found.column(name).to_numpy()
-        return out
-
-    after = arrays(by_word("h", nt=F.sum("t"), no=F.sum("o"), kt=seen("t"), ko=seen("o")), "h", ["nt", "no", "kt", "ko"])
-    before = arrays(by_word("w", ct=seen("t"), co=seen("o")), "w", ["ct", "co"])
-    shared = arrays(counts.filter(f"kind = {SHARED}").groupBy("key").agg(F.sum("n").alias("n")), "key", ["n"])["n"]
-    base = (shared + 0.5) / (shared.sum() + 0.5 * SLOTS)
-
-    def word_probability(c: np.ndarray) -> np.ndarray:
-        every = max(1.0, c.sum())
-        return np.maximum(c - DISCOUNT, 0) / every + (DISCOUNT * np.count_nonzero(c) / every if c.sum() else 1.0) * base
-
-    wt, wo = word_probability(before["ct"]), word_probability(before["co"])
-    lt = np.where(after["nt"] > 0, DISCOUNT * after["kt"] / np.maximum(after["nt"], 1), 1.0)
-    lo = np.where(after["no"] > 0, DISCOUNT * after["ko"] / np.maximum(after["no"], 1), 1.0)
-    # A bigram seen once says no more than its word; the table is for those seen twice or more.
-    best = pairs.filter("t + o > 1").groupBy(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")).agg(
-        F.max(F.struct((F.col("t") + F.col("o")).alias("n"), "key", "t", "o")).alias("x")
-    )
-    found = best.select("x.key", "x.t", "x.o").toArrow()
-    key, t, o = (found.column(c).to_numpy().astype(np.int64) for c in ("key", "t", "o"))
-    h, w = key >> 20, key & (SLOTS - 1)
-    pt = np.maximum(t - DISCOUNT, 0) / np.maximum(after["nt"][h], 1) + lt[h] * wt[w]
-    po = np.maximum(o - DISCOUNT, 0) / np.maximum(after["no"][h], 1) + lo[h] * wo[w]
-    keys, ratio = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.float32)
-    order = np.lexsort((key, t + o))  # the most frequent last
-    slot = _slot(mix(key.astype(np.uint64)))[order]
-    keys[slot], ratio[slot] = key[order], np.log(pt / po)[order]
-    return Model(np.log(wt / wo).astype(np.float32), np.log(lt / lo).astype(np.float32), keys, ratio)
+        return 1 / (1 + np.exp(-np.clip(self.base + self.weight * np.log(self.evidence(texts) + FLOOR), -30, 30)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Weight and base of the logistic curve through differences x and labels y; without both labels, 1 and 0.
+def _tables(counts: DataFrame) -> tuple[Table, Table]:
+    """The two tables of a model, from distinct expressions (key, t, o).
 
-    Classes weigh alike, so that 1/2 parts them where they are equally likely.
+    The sums here are by expression, history or last three bytes; only expressions and histories with
+    evidence, bounded by ``LABELLED``, and the counts of the 256 bytes reach the driver.
     """
+    last = F.col("key").bitwiseAND(0xFFFFFF)
+    history = F.shiftright("key", 8)
+    shared = counts.groupBy(last.alias("three")).agg(F.count("*").alias("n3"))
+    shared = shared.withColumn("two", F.shiftright("three", 8))
+    after = shared.groupBy(F.col("two").alias("two_")).agg(
+        F.sum("n3").alias("n2"), F.sum(F.least(F.col("n3"), F.lit(SHARED_DISCOUNT))).alias("left2")
+    )
+    ends = {r["byte"]: r["n"] for r in shared.groupBy(F.col("three").bitwiseAND(255).alias("byte")).agg(F.count("*").alias("n")).collect()}
+    single = np.array([ends.get(i, 0) + 0.1 for i in range(256)])
+    single /= single.sum()
+
+    own = counts.filter("t > 0 or o > 0").select("key", "t", "o", history.alias("h"))
+    kept = lambda c: F.least(F.col(c), F.lit(DISCOUNT))
+    by = own.groupBy("h").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum(kept("t")).alias("dt"), F.sum(kept("o")).alias("do"))
+    by = by.filter("dt < nt or do < no")
+    found = by.toArrow()
+    nt, no, dt, do = (found.column(c).to_numpy().astype(float) for c in ("nt", "no", "dt", "do"))
+    left = lambda d, n: np.where(n > 0, d / np.maximum(n, 1), 1.0)
+    histories = Table(found.column("h").to_numpy(), np.log(left(dt, nt) / left(do, no)))
+
+    plain = own.filter(f"t > {DISCOUNT} or o > {DISCOUNT}").withColumn("three_", last)
+    plain = plain.join(by.withColumnRenamed("h", "h_"), F.col("h") == F.col("h_"))
+    plain = plain.join(shared, F.col("three_") == F.col("three")).join(after, F.col("two") == F.col("two_"))
+    found = plain.select("key", "t", "o", "nt", "no", "dt", "do", "n3", "n2", "left2").toArrow()
+    key, t, o, nt, no, dt, do, n3, n2, left2 = (found.column(c).to_numpy() for c in found.column_names)
+    backoff = (np.maximum(n3 - SHARED_DISCOUNT, 0) + left2 * single[key & 255]) / np.maximum(n2, 1)
+    chance = lambda c, n, d: np.maximum(c - DISCOUNT, 0) / np.maximum(n, 1) + left(d, n) * backoff
+    return Table(key, np.log(chance(t, nt, dt) / chance(o, no, do))), histories
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Weight and base of the logistic curve through logarithms of evidence x and labels y; without both labels, one through the middle of what evidence can be."""
     if not y.any() or y.all():
-        return 1.0, 0.0
-    each = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y).mean())
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
+        return 1.0, -np.log(0.02 + FLOOR)
+    a = np.stack([x - x.mean(), np.ones(len(x))], 1)
     v = np.zeros(2)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ v, -30, 30)))
-        gradient = a.T @ (each * (p - y)) + np.array([1e-2, 0]) * v
-        curve = (a * (each * p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2) + np.diag([1e-2, 0])
-        step = np.linalg.solve(curve, gradient)
-        v -= np.clip(step, -2, 2)
+        gradient = a.T @ (p - y) + np.array([1e-1, 0]) * v
+        curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-1, 1e-6])
+        step = np.clip(np.linalg.solve(curve, gradient), -2, 2)
+        v -= step
         if abs(step).max() < 1e-8:
             break
-    return float(max(v[0], 1e-3) / scale), float(v[1])
+    weight = max(float(v[0]), 1e-2)
+    return weight, float(v[1]) - weight * float(x.mean())
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from labels whose id isn't held out. Counting covers all documents and all those labels."""
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.select(F.col("doc_id").alias("__id"), "toxic").filter(part_of(F.col("__id")) != 0)
-    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"), "left")
-    own = part_of(F.col("doc_id"))
-    counted = marked.select("text", F.when(own < 4, F.col("toxic") > 0).alias("label"))
-    model = _tables(counted.mapInArrow(_counted, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.word, model.history, model.keys, model.ratio))
-
-    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model from labels whose id isn't held out. The shared counts cover all documents."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(part_of(F.col("doc_id")) != 0)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = max(1, known.count())
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, LABELLED / n) * (1 << 30))
+    known = known.filter(picked).select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).alias("__toxic"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"), "left")
+    calibrates = part_of(F.col("doc_id")) == 4
+    counted = marked.select("text", F.when(~calibrates, F.col("__toxic")).alias("label"))
+    counted = counted.mapInArrow(_counted, "key bigint, t bigint, o bigint")
+    counted = materialize(counted.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "expressions")
+    model = Model(*_tables(counted))
+    release(counted)
+    shared = docs.sparkSession.sparkContext.broadcast((model.seen, model.history))
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Model(*shared.value)
         for batch in batches:
             texts = texts_of(batch)
-            found = [ready.differences(texts[a:b]) for a, b in chunks(texts)]
+            found = [ready.evidence(texts[a:b]) for a, b in chunks(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0), *found])), batch.column(1)], names=["x", "y"])
 
-    held = marked.filter((own == 4) & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    rows = held.select("text", (F.col("toxic") > 0).alias("y")).mapInArrow(differences, "x double, y boolean").toArrow()
-    model.weight, model.base = _calibrate(rows.column("x").to_numpy(), rows.column("y").to_numpy().astype(bool))
+    held = marked.filter(calibrates & F.col("__toxic").isNotNull()).select("text", F.col("__toxic").alias("y"))
+    rows = held.mapInArrow(evidence, "x double, y boolean").toArrow()
+    model.weight, model.base = _calibrate(np.log(rows.column("x").to_numpy() + FLOOR), rows.column("y").to_numpy().astype(bool))
     return model
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document.
 
-    The score is the text's alone; null and empty texts have one too. Labels count where toxic isn't
-    null; of several for an id the highest does. Without labels of both kinds, scores say nothing. Repeated
+    The score is the text's alone; null and empty texts have that of no evidence. Labels count where toxic
+    isn't null; of several for an id the highest does. Without labels of both kinds, scores say nothing. Repeated
     rows stay; other columns are dropped; an empty table gives an empty result.
     """
     model = learn(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model.word, model.history, model.keys, model.ratio))
-    weight, base = model.weight, model.base
+    shared = docs.sparkSession.sparkContext.broadcast((model.seen, model.history, model.weight, model.base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Model(*shared.value)
-        ready.weight, ready.base = weight, base
         for batch in batches:
             texts = texts_of(batch)
             found = np.concatenate([np.zeros(0), *(ready.scores(texts[a:b]) for a, b in chunks(texts))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
+            yield with_columns(batch.select(["doc_id"]), {"score": found})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
