@@ -25,7 +25,7 @@ BANDS, ROWS = 8, 3
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
 _GOLDEN = 0x9E3779B97F4A7C15
-_WORD, _SPACE = r"[^\x20\x09-\x0D]", r"\x20\x09-\x0D"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _constant(i: int) -> Column:
@@ -35,7 +35,7 @@ def _constant(i: int) -> Column:
 
 def _shingles(line: Column) -> Column:
     """The ``WIDTH`` characters from each start of a word on; fewer at the end."""
-    return F.regexp_extract_all(line, F.lit(rf"(?=({_WORD}[\s\S]{{0,{WIDTH - 1}}})){_WORD}+"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}.{{0,{WIDTH - 1}}})){_WORD}+"), F.lit(1))
 
 
 def _second(column: str) -> Column:
