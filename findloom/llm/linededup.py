@@ -6,10 +6,10 @@ component the earliest line stays. Shingles are the ``WIDTH`` characters from ea
 so that a line costs a row per word instead of one per character.
 
 A shingle is hashed once, to h; its hash by permutation i is h xor a constant, and the least of these
-over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives all its pairs. Larger ones
-give pairs with three of their lines only; where that leaves a bucket in several components, the pairs
-across components that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which loses
-none. So no group of alike lines is compared pair by pair.
+over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives all its pairs. In larger
+ones, lines are compared with a hub, the line most like the others; lines linked to one hub need no link
+among themselves. Other pairs that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which
+loses none. So no group of alike lines is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -50,14 +50,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines: k1, copies, and keys, the hash of each band. Equal lines meet in the one shuffle here."""
-    distinct = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.count("*").alias("copies"))
-    shingles = distinct.select("k1", "k2", "copies", F.explode(_shingles(F.col("line"))).alias("s"))
-    hashed = shingles.select("k1", "k2", "copies", F.xxhash64("s").alias("h"))
+    """Distinct lines: k1 and keys, the hash of each band. Equal lines meet in the one shuffle here."""
+    distinct = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    hashed = distinct.select("k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(_constant(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("k1", "k2").agg(F.max("copies").alias("copies"), *mins)
+    signed = hashed.groupBy("k1", "k2").agg(*mins)
     bands = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
-    return signed.select("k1", "copies", F.array(*bands).alias("keys"))
+    return signed.select("k1", F.array(*bands).alias("keys"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -66,75 +65,100 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, node (the line's name among components) and s, the set of its shingles' hashes, of the lines in ``wanted`` (k1)."""
+    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1)."""
     texts = lines.select("k1", "k2", "line").join(wanted.distinct(), "k1", "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     hashes = F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
+    named = texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
+    return named.withColumn("n", F.size("s"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose Jaccard likeness is ``THRESHOLD`` or more, as links (a, b) of nodes."""
+    """The pairs (a, b) whose Jaccard likeness is ``THRESHOLD`` or more, with all columns and the nodes na and nb."""
     side = lambda c: sets.select(F.col("k1").alias(c), F.col("node").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)
-    return both.filter(alike).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return both.filter(alike).drop("sa", "sb")
+
+
+def _tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members (key, k1, ...) with n, and a row for each shingle (token), with the number of the bucket's rows that have it (df)."""
+    tokens = members.join(sets.select("k1", "n", F.explode("s").alias("token")), "k1")
+    spread = tokens.groupBy("key", "token").agg(F.count("*").alias("df")).withColumnsRenamed({"key": "key_", "token": "token_"})
+    return tokens.join(spread, (F.col("key") == F.col("key_")) & (F.col("token") == F.col("token_"))).drop("key_", "token_")
+
+
+def _around_hubs(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links of large buckets' lines to the lines most like all others, and members (key, k1, label).
+
+    In rounds: of each bucket's lines without a label, the one whose shingles most lines have is compared with the
+    others, and those alike get its label. A bucket leaves when its hub finds under an eighth, or ``SMALL``
+    lines are left; lines without a label then have their own k1 as one.
+    """
+    rest, links, labelled = members.select("key", "k1"), [], []
+    while True:
+        counts = rest.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m"))
+        crowded = materialize(rest.join(counts.filter(F.col("m") > SMALL), F.col("key") == F.col("key_")).drop("key_"), "crowded")
+        if crowded.isEmpty():
+            break
+        near = _tokens(crowded, sets).groupBy("key", "k1", "m", "n").agg((F.sum("df") / F.col("m")).alias("x"))
+        # x: shingles shared with another line on average; over n and the other's n less x it is a likeness.
+        hubs = near.groupBy("key").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
+        tried = crowded.join(hubs, "key").select("key", "m", "a", F.col("k1").alias("b"))
+        found = materialize(_verified(tried, sets), "hubs")
+        links.append(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        own = found.select("key", F.col("b").alias("k1"), F.col("a").alias("label"))
+        labelled.append(own)
+        useful = found.groupBy("key", "m").agg(F.count("*").alias("c")).filter("c * 8 >= m").select("key")
+        rest = crowded.select("key", "k1").join(useful, "key").join(own.select("key", "k1"), ["key", "k1"], "left_anti")
+    if not links:
+        return members.sparkSession.createDataFrame([], "a string, b string"), None
+    every, known = links[0], labelled[0]
+    for more, names in zip(links[1:], labelled[1:]):
+        every, known = every.unionAll(more), known.unionAll(names)
+    placed = members.select("key", "k1").join(known, ["key", "k1"], "left")
+    return every, placed.select("key", "k1", F.coalesce("label", "k1").alias("label"))
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components, in buckets (key, k1, component), that can reach ``THRESHOLD``.
+    """Pairs of different labels, in buckets (key, k1, label), that can reach ``THRESHOLD``.
 
-    Of two lines that alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
-    other's, in any order of shingles that both share; here the order is by how many of the bucket's lines have one. Where a shingle's lines are
-    mostly of one component, only those of the others are joined with all.
+    Of two lines that are alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
+    other's, in any order of shingles that both share; here the order is by how many of the bucket's lines have
+    one. Where a shingle's lines mostly have one label, only those of the others are joined with all.
     """
-    tokens = members.join(sets.select("k1", F.size("s").alias("n"), F.explode("s").alias("token")), "k1")
-    spread = tokens.groupBy("key", "token").agg(F.count("*").alias("df")).withColumnsRenamed({"key": "key_", "token": "token_"})
-    ranked = tokens.join(spread, (F.col("key") == F.col("key_")) & (F.col("token") == F.col("token_")))
     order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    rare = ranked.groupBy("key", "k1", "component", "n").agg(order.alias("all"))
+    rare = _tokens(members, sets).groupBy("key", "k1", "label", "n").agg(order.alias("all"))
     most = F.floor(F.col("n") * (1 - THRESHOLD) + 1e-9).cast("int") + 1
-    rare = rare.select("key", "k1", "component", "n", F.explode(F.slice("all.token", F.lit(1), most)).alias("token"))
-    by = rare.groupBy("key", "token", "component").agg(F.count("*").alias("c"))
-    by = by.groupBy("key", "token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    shared = rare.join(by, ["key", "token"])
-    left = shared.filter("component <> main").select("key", "token", F.col("k1").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = shared.select("key", "token", F.col("k1").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
+    rare = rare.select("key", "k1", "label", "n", F.explode(F.slice("all.token", F.lit(1), most)).alias("token"))
+    by = rare.groupBy("key", "token", "label").agg(F.count("*").alias("c"))
+    by = by.groupBy("key", "token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    shared = materialize(rare.join(by, ["key", "token"]), "shared")
+    left = shared.filter("label <> main").select("key", "token", F.col("k1").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = shared.select("key", "token", F.col("k1").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
     return _ordered(left.join(right, ["key", "token"]).filter(near).select("a", "b"))
 
 
 def _components(lines: DataFrame) -> DataFrame:
     """Components (node, root) of the lines that are like others."""
     signed = materialize(_signed(lines), "signatures")
-    keyed = signed.select("k1", "copies", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")
-    ).filter("n > 1")
-    buckets = materialize(buckets, "buckets")
-    more = materialize(keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
-    small = more.filter(F.col("n") <= SMALL)
-    large = more.filter(F.col("n") > SMALL)
-    tops = large.groupBy("key").agg(F.max_by("k1", F.struct("copies", "k1")).alias("top"))
-    hubs = buckets.filter(F.col("n") > SMALL).join(tops, "key").select("key", F.explode(F.array_distinct(F.array("top", "low", "high"))).alias("a"))
-    pairs = (
-        buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-        .unionAll(small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b").select("a", "b"))
-        .unionAll(large.select("key", F.col("k1").alias("b")).join(hubs, "key").select("a", "b"))
-    )
-    pairs = materialize(_ordered(pairs), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1"))
+    keyed = signed.select("k1", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"))
+    buckets = materialize(buckets.filter("n > 1"), "buckets")
+    members = materialize(keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
+    small = members.filter(F.col("n") <= SMALL)
+    large = members.filter(F.col("n") > SMALL)
+    pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b")
+    pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1"))
     sets = materialize(_sets(lines, wanted), "shingles")
-    links = materialize(_verified(pairs, sets), "verified")
+    links, labelled = _around_hubs(large, sets)
+    if labelled is not None:
+        pairs = _ordered(pairs.unionAll(_across(labelled, sets)))
+    links = links.unionAll(_verified(pairs, sets).select(F.col("na").alias("a"), F.col("nb").alias("b")))
     parts = connected_components(links)
-
-    named = sets.select("k1", "node").join(parts, "node", "left").select("k1", F.coalesce("root", "node").alias("component"))
-    mixed = large.select("key", "k1").join(named, "k1")
-    split = mixed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("key")
-    mixed = materialize(mixed.join(split, "key"), "mixed")
-    if not mixed.isEmpty():
-        parts = connected_components(links.unionAll(_verified(materialize(_across(mixed, sets), "across"), sets)))
     for table in (signed, buckets):
         release(table)
     return parts
