@@ -68,27 +68,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns ``a`` and ``b`` of one orderable type without nulls. Returns ``node`` and
     ``root`` (the least node of its component) for every node of an edge between two nodes; no such edge
     gives no rows. A node with very many edges is safe: minima are aggregated before the shuffle and
-    joined back by joins that Spark can split. Each round is written to the shared folder, and ends the
-    search if its links are those of the round before (equal counts and sums of their hashes).
+    joined back by joins that Spark can split. Each round is written to the shared folder; the search
+    ends when every node has one link, to a node that has none.
     """
-
-    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
-        out = materialize(links.distinct(), "links")
-        mark = out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).head()
-        return out, tuple(mark)
-
-    ends = edges.filter("a <> b")
-    links, mark = written(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    while mark[0]:
+    ends = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = materialize(ends.distinct(), "links")
+    while True:
+        more = links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        chained = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+        if more.isEmpty() and chained.isEmpty():
+            break
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
-        after, now = written(small.select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).filter("a <> b"))
+        small = small.select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).filter("a <> b")
+        after = materialize(small.distinct(), "links")
         release(links)
-        links, before, mark = after, mark, now
-        if before == mark:
-            break
+        links = after
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -24,6 +24,8 @@ WIDTH, THRESHOLD = 12, 0.8
 BANDS, ROWS = 8, 3
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
+#: Most 64-bit keys that are broadcast.
+BROADCAST = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -35,7 +37,7 @@ def _constant(i: int) -> Column:
 
 def _shingles(line: Column) -> Column:
     """The ``WIDTH`` characters from each start of a word on; fewer at the end."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}.{{0,{WIDTH - 1}}})){_WORD}+"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}{'.?' * (WIDTH - 1)})){_WORD}+"), F.lit(1))
 
 
 def _second(column: str) -> Column:
@@ -65,8 +67,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1)."""
-    texts = lines.select("k1", "k2", "line").join(wanted.distinct(), "k1", "left_semi")
+    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1, each once).
+
+    Up to ``BROADCAST`` wanted lines are broadcast, 8 bytes each; else the lines are shuffled."""
+    few = wanted.count() <= BROADCAST
+    texts = lines.select("k1", "k2", "line").join(F.broadcast(wanted) if few else wanted, "k1", "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     hashes = F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))
     named = texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
@@ -82,62 +87,63 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(alike).drop("sa", "sb")
 
 
-def _tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members (key, k1, ...) with n, and a row for each shingle (token), with the number of the bucket's rows that have it (df)."""
-    tokens = members.join(sets.select("k1", "n", F.explode("s").alias("token")), "k1")
-    spread = tokens.groupBy("key", "token").agg(F.count("*").alias("df")).withColumnsRenamed({"key": "key_", "token": "token_"})
-    return tokens.join(spread, (F.col("key") == F.col("key_")) & (F.col("token") == F.col("token_"))).drop("key_", "token_")
+def _ranked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each line of ``members`` (k1): n, dfs (how many of these lines have each of its shingles) and rare, its
+    rarest floor(n / 5) + 1 shingles, the rarest first."""
+    tokens = sets.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "n", F.explode("s").alias("token"))
+    spread = tokens.groupBy(F.col("token").alias("token_")).agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "token")))
+    by_line = tokens.join(spread, F.col("token") == F.col("token_")).groupBy("k1", "n").agg(order.alias("all"))
+    most = F.floor(F.col("n") * (1 - THRESHOLD) + 1e-9).cast("int") + 1
+    return by_line.select("k1", "n", F.col("all.df").alias("dfs"), F.slice("all.token", F.lit(1), most).alias("rare"))
 
 
-def _around_hubs(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _around_hubs(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of large buckets' lines to the lines most like all others, and members (key, k1, label).
 
     In rounds: of each bucket's lines without a label, the one whose shingles most lines have is compared with the
     others, and those alike get its label. A bucket leaves when its hub finds under an eighth, or ``SMALL``
     lines are left; lines without a label then have their own k1 as one.
     """
-    rest, links, labelled = members.select("key", "k1"), [], []
+    rest = members.select("key", "k1")
+    links = rest.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
+    labelled = rest.select("key", "k1", F.col("k1").alias("label")).limit(0)
     while True:
         counts = rest.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m"))
         crowded = materialize(rest.join(counts.filter(F.col("m") > SMALL), F.col("key") == F.col("key_")).drop("key_"), "crowded")
         if crowded.isEmpty():
             break
-        near = _tokens(crowded, sets).groupBy("key", "k1", "m", "n").agg((F.sum("df") / F.col("m")).alias("x"))
-        # x: shingles shared with another line on average; over n and the other's n less x it is a likeness.
+        # x: shingles shared with another line on average, roughly; over n and the other's n less x it is a likeness.
+        x = F.aggregate("dfs", F.lit(0.0), lambda t, d: t + F.least(d, F.col("m")) / F.col("m"))
+        near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "n", x.alias("x"))
         hubs = near.groupBy("key").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
         tried = crowded.join(hubs, "key").select("key", "m", "a", F.col("k1").alias("b"))
         found = materialize(_verified(tried, sets), "hubs")
-        links.append(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
         own = found.select("key", F.col("b").alias("k1"), F.col("a").alias("label"))
-        labelled.append(own)
+        labelled = labelled.unionAll(own)
         useful = found.groupBy("key", "m").agg(F.count("*").alias("c")).filter("c * 8 >= m").select("key")
-        rest = crowded.select("key", "k1").join(useful, "key").join(own.select("key", "k1"), ["key", "k1"], "left_anti")
-    if not links:
-        return members.sparkSession.createDataFrame([], "a string, b string"), None
-    every, known = links[0], labelled[0]
-    for more, names in zip(links[1:], labelled[1:]):
-        every, known = every.unionAll(more), known.unionAll(names)
-    placed = members.select("key", "k1").join(known, ["key", "k1"], "left")
-    return every, placed.select("key", "k1", F.coalesce("label", "k1").alias("label"))
+        rest = crowded.select("key", "k1").join(useful, "key", "left_semi").join(own.select("key", "k1"), ["key", "k1"], "left_anti")
+    placed = members.select("key", "k1").join(labelled, ["key", "k1"], "left")
+    return links, placed.select("key", "k1", F.coalesce("label", "k1").alias("label"))
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
     """Pairs of different labels, in buckets (key, k1, label), that can reach ``THRESHOLD``.
 
     Of two lines that are alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
-    other's, in any order of shingles that both share; here the order is by how many of the bucket's lines have
-    one. Where a shingle's lines mostly have one label, only those of the others are joined with all.
+    other's, in any order of shingles. The first such shingle that two lines share, at positions p and q, is
+    followed by at most the lesser of n - p and m - q more; if all those together are too few, the pair is left
+    out. Where a shingle's lines mostly have one label, only those of the others are joined with all.
     """
-    order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    rare = _tokens(members, sets).groupBy("key", "k1", "label", "n").agg(order.alias("all"))
-    most = F.floor(F.col("n") * (1 - THRESHOLD) + 1e-9).cast("int") + 1
-    rare = rare.select("key", "k1", "label", "n", F.explode(F.slice("all.token", F.lit(1), most)).alias("token"))
+    rare = members.join(ranked, "k1").select("key", "k1", "label", "n", F.posexplode("rare").alias("p", "token"))
     by = rare.groupBy("key", "token", "label").agg(F.count("*").alias("c"))
     by = by.groupBy("key", "token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     shared = materialize(rare.join(by, ["key", "token"]), "shared")
-    left = shared.filter("label <> main").select("key", "token", F.col("k1").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = shared.select("key", "token", F.col("k1").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
+    side = lambda c: [F.col("k1").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")]
+    left, right = shared.filter("label <> main").select("key", "token", *side("a")), shared.select("key", "token", *side("b"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shingles in common, at most
+    near = (most >= THRESHOLD / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) - 1e-9) & (F.col("la") != F.col("lb"))
     return _ordered(left.join(right, ["key", "token"]).filter(near).select("a", "b"))
 
 
@@ -152,45 +158,41 @@ def _components(lines: DataFrame) -> DataFrame:
     large = members.filter(F.col("n") > SMALL)
     pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b")
     pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1"))
-    sets = materialize(_sets(lines, wanted), "shingles")
-    links, labelled = _around_hubs(large, sets)
-    if labelled is not None:
-        pairs = _ordered(pairs.unionAll(_across(labelled, sets)))
-    links = links.unionAll(_verified(pairs, sets).select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    parts = connected_components(links)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
+    sets = materialize(_sets(lines, materialize(wanted, "wanted")), "shingles")
+    ranked = materialize(_ranked(large, sets), "ranked")
+    links, labelled = _around_hubs(large, sets, ranked)
+    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), sets)
+    parts = connected_components(links.unionAll(found.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
     for table in (signed, buckets):
         release(table)
     return parts
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """Lines with a word: doc_id, line_no and kept.
+def _dropped(docs: DataFrame) -> DataFrame:
+    """Of each doc_id that loses lines: __id and __gone, their numbers (from 0, by ``\\n``).
 
     Of the lines of a component, and of equal lines, that of the smallest doc_id and then line_no is kept; null
     ids come last. Rows of one doc_id are one document: its lines of one number go or stay together.
     """
     lines = lines_of(docs)
-    parts = _components(lines)
     name = F.split("node", ":")
     number = lambda i: F.conv(F.get(name, F.lit(i)), 16, -10).cast("bigint")
-    parts = parts.select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
+    parts = _components(lines).select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
     spots = lines.select("doc_id", "line_no", "k1", "k2")
     spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
     spots = materialize(spots.select("doc_id", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
     spot = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")
     first = spots.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(spot).alias("f")).filter("n > 1")
     first = first.select(F.col("r1").alias("f1"), F.col("r2").alias("f2"), F.col("f.doc_id").alias("__doc"), F.col("f.line_no").alias("__line"))
-    placed = spots.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line"))
-    return placed.select("doc_id", "line_no", (F.col("__line").isNull() | same).alias("kept"))
+    placed = spots.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")))
+    others = placed.filter(~(F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line"))))
+    return others.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
 
 
-def _by_document(docs: DataFrame) -> DataFrame:
-    """__id, __n (lines with a word) and __gone (numbers of those that go) of each document that has lines."""
-    return line_classes(docs).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.size(F.collect_set("line_no")).alias("__n"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone")
-    )
+def _n_lines() -> Column:
+    """Lines with a word of the text."""
+    return F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -198,12 +200,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; repeated rows of one
     doc_id share a row; other columns are dropped; empty input gives an empty result.
     """
-    ids = docs.select("doc_id").distinct()
-    found = ids.join(_by_document(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    gone = F.coalesce(F.sort_array("__gone"), F.array().cast("array<int>"))
-    return found.select(
-        "doc_id", F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped")
-    )
+    ids = docs.groupBy("doc_id").agg(F.max(_n_lines()).cast("bigint").alias("n_lines"))
+    found = ids.join(_dropped(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    return found.select("doc_id", "n_lines", F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -212,11 +212,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Columns stay as they are; n_chars, where there is one, is set anew. Documents that had no line with
     a word before are kept as they are.
     """
-    gone = _by_document(docs).filter("size(__gone) > 0")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(_dropped(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = joined.filter("__n is null or size(__gone) < __n").withColumn("text", text)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < _n_lines())).withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
