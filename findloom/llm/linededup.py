@@ -24,7 +24,7 @@ WIDTH, THRESHOLD = 12, 0.8
 BANDS, ROWS = 8, 3
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
-#: Most 64-bit keys that are broadcast.
+#: Rows of one or two numbers that are broadcast, at most: 16 MB.
 BROADCAST = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
 _WORD = r"[^\x20\x09-\x0D]"
@@ -66,12 +66,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1, each once).
+def _if_few(table: DataFrame) -> DataFrame:
+    """A written table of one or two numbers a row, broadcast if it has up to ``BROADCAST`` rows; else its join shuffles."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
 
-    Up to ``BROADCAST`` wanted lines are broadcast, 8 bytes each; else the lines are shuffled."""
-    few = wanted.count() <= BROADCAST
-    texts = lines.select("k1", "k2", "line").join(F.broadcast(wanted) if few else wanted, "k1", "left_semi")
+def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1, each once)."""
+    texts = lines.select("k1", "k2", "line").join(_if_few(wanted), "k1", "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     hashes = F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))
     named = texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
@@ -101,9 +103,10 @@ def _ranked(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _around_hubs(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of large buckets' lines to the lines most like all others, and members (key, k1, label).
 
-    In rounds: of each bucket's lines without a label, the one whose shingles most lines have is compared with the
-    others, and those alike get its label. A bucket leaves when its hub finds under an eighth, or ``SMALL``
-    lines are left; lines without a label then have their own k1 as one.
+    In rounds: of each bucket's lines without a label, the one whose shingles most lines have is compared with all
+    the bucket's lines. Those alike get its label, or the label that one of them has by now. A bucket leaves when
+    its hub finds under an eighth of its lines without a label, or ``SMALL`` are left; these have their own k1 as
+    one. So lines of one label are linked, through hubs.
     """
     rest = members.select("key", "k1")
     links = rest.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
@@ -115,15 +118,18 @@ def _around_hubs(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> tupl
             break
         # x: shingles shared with another line on average, roughly; over n and the other's n less x it is a likeness.
         x = F.aggregate("dfs", F.lit(0.0), lambda t, d: t + F.least(d, F.col("m")) / F.col("m"))
-        near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "n", x.alias("x"))
-        hubs = near.groupBy("key").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
-        tried = crowded.join(hubs, "key").select("key", "m", "a", F.col("k1").alias("b"))
+        near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "m", "n", x.alias("x"))
+        hubs = near.groupBy("key", "m").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
+        every = crowded.select("key", "k1", F.lit(None).cast("bigint").alias("label")).unionAll(labelled)
+        tried = every.join(hubs, "key").select("key", "m", "label", "a", F.col("k1").alias("b"))
         found = materialize(_verified(tried, sets), "hubs")
         links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-        own = found.select("key", F.col("b").alias("k1"), F.col("a").alias("label"))
+        names = found.groupBy("key", "m", "a").agg(F.min("label").alias("known"), F.count_if(F.col("label").isNull()).alias("c"))
+        own = found.filter("label is null").select("key", F.col("b").alias("k1")).join(names, "key")
+        own = materialize(own.select("key", "k1", F.coalesce("known", "a").alias("label")), "labels")
         labelled = labelled.unionAll(own)
-        useful = found.groupBy("key", "m").agg(F.count("*").alias("c")).filter("c * 8 >= m").select("key")
-        rest = crowded.select("key", "k1").join(useful, "key", "left_semi").join(own.select("key", "k1"), ["key", "k1"], "left_anti")
+        rest = crowded.select("key", "k1").join(names.filter("c * 8 >= m").select("key"), "key", "left_semi")
+        rest = rest.join(own.select("key", "k1"), ["key", "k1"], "left_anti")
     placed = members.select("key", "k1").join(labelled, ["key", "k1"], "left")
     return links, placed.select("key", "k1", F.coalesce("label", "k1").alias("label"))
 
@@ -153,7 +159,7 @@ def _components(lines: DataFrame) -> DataFrame:
     keyed = signed.select("k1", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"))
     buckets = materialize(buckets.filter("n > 1"), "buckets")
-    members = materialize(keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
+    members = materialize(keyed.join(_if_few(buckets.filter("n > 2").select("key", "n")), "key"), "members")
     small = members.filter(F.col("n") <= SMALL)
     large = members.filter(F.col("n") > SMALL)
     pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b")
@@ -182,11 +188,13 @@ def _dropped(docs: DataFrame) -> DataFrame:
     spots = lines.select("doc_id", "line_no", "k1", "k2")
     spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
     spots = materialize(spots.select("doc_id", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
+    several = spots.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.count("*").alias("n")).filter("n > 1")
+    same = (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))
+    repeats = materialize(spots.join(several.select("f1", "f2"), same).drop("f1", "f2"), "repeats")
     spot = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")
-    first = spots.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.min(spot).alias("f")).filter("n > 1")
-    first = first.select(F.col("r1").alias("f1"), F.col("r2").alias("f2"), F.col("f.doc_id").alias("__doc"), F.col("f.line_no").alias("__line"))
-    placed = spots.join(first, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")))
-    others = placed.filter(~(F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line"))))
+    first = repeats.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.min(spot).alias("f"))
+    placed = repeats.join(first, same)
+    others = placed.filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))))
     return others.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
 
 
