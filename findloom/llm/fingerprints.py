@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 
 K, S = 5, 2
 #: Anchor hashes in a fingerprint, of 16 hexadecimal digits each.
 SKETCH = 64
-#: Ids of one bucket, in which the next document is sought.
-BUCKET = 4096
+#: Rows of one bucket, in which the next document is sought: a power of 2.
+BUCKET_BITS = 12
+BUCKET = 1 << BUCKET_BITS
+#: Rows of three numbers that are broadcast, at most: one for each bucket.
+BROADCAST = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -84,41 +88,45 @@ def anchors(docs: DataFrame) -> DataFrame:
     return df.filter("anchor is not null")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Add ``next_text`` and ``next_sketch``: those of the next document by descending doc_id; after
-    the last comes the first. ``docs`` has doc_id, text and sketch.
+def _heads(ids: DataFrame) -> DataFrame:
+    """Of buckets of ids (b, id): head, the largest id of each, and behind, the bucket before it by descending ids.
 
-    Ids fall in buckets of ``BUCKET``, and a bucket's rows are ordered together; the first row of the
-    bucket that follows is put behind each. Which bucket that is, is found on ids alone: one row for
-    each bucket, ordered in groups of ``BUCKET`` buckets again. So no task takes more than ``BUCKET``
-    texts of distinct ids. Null ids come last; rows of one id are ordered by their text.
+    Behind the last bucket comes the first. Buckets are ordered in groups of ``BUCKET``, and the groups by one
+    row each, so no task orders more than that or their number's square root.
     """
-    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62)))
-    ids = docs.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("head"))
-    ids = ids.withColumn("bb", F.floor(F.col("b") / BUCKET))
-    within = Window.partitionBy("bb").orderBy(F.col("b").desc())
-    ids = ids.withColumn("to", F.lag("b").over(within))
-    tops = ids.groupBy("bb").agg(F.max("b").alias("b"), F.min("b").alias("last"))
-    every = Window.orderBy(F.col("bb").desc())
+    heads = ids.groupBy("b").agg(F.max("id").alias("head")).withColumn("bb", F.shiftright("b", BUCKET_BITS))
+    heads = heads.withColumn("behind", F.lag("b").over(Window.partitionBy("bb").orderBy(F.col("b").desc())))
+    tops = heads.groupBy("bb").agg(F.max("b").alias("top"), F.min("b").alias("last"))
     end = F.first("last").over(Window.orderBy("bb"))
-    tops = tops.select(F.col("b").alias("__top"), F.coalesce(F.lag("last").over(every), end).alias("__to"))
-    heads = ids.join(tops, F.col("b") == F.col("__top"), "left").select(
-        F.col("b").alias("__b"), F.col("head").alias("__head"), F.coalesce("to", "__to").alias("__for")
-    )
-    # The first row of a bucket is also put behind the bucket before.
-    placed = docs.withColumn("__bucket", bucket)
-    keyed = placed.join(heads, (F.col("__bucket") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__head")), "left")
-    spots = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("behind")))
-    behind = F.array(F.struct(F.col("__for").alias("b"), F.lit(1).alias("behind")))
-    spread = keyed.withColumn("__at", F.explode(F.when(F.col("__for").isNotNull(), F.concat(spots, behind)).otherwise(spots)))
-    order = Window.partitionBy("__at.b").orderBy("__at.behind", F.col("doc_id").desc_nulls_last(), "text")
-    ahead = F.lead(F.struct("text", "sketch")).over(order)
-    return (
-        spread.withColumn("__next", ahead)
-        .filter("__at.behind = 0")
-        .withColumns({"next_text": F.col("__next.text"), "next_sketch": F.col("__next.sketch")})
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "next_text", "next_sketch")
+    tops = tops.select("top", F.coalesce(F.lag("last").over(Window.orderBy(F.col("bb").desc())), end).alias("before"))
+    heads = heads.join(tops, F.col("b") == F.col("top"), "left")
+    return heads.select(F.col("b").alias("__b"), F.col("head").alias("__head"), F.coalesce("behind", "before").alias("__behind"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text and sketch, and next_text and next_sketch: those of the next document by descending
+    doc_id (a whole number); after the last comes the first.
+
+    Ids are cut into even ranges of about ``BUCKET`` rows each, and a range's rows are ordered together,
+    with the first row of the range that follows behind them; which one that is, is found on ids alone. Texts
+    are shuffled once. Null ids come last; rows of one id are ordered by their text.
+    """
+    number = F.col("doc_id").cast("bigint")
+    low, high, n = docs.agg(F.min(number), F.max(number), F.count("*")).head()
+    width = max(1, ((high or 0) - (low or 0) + 1) * BUCKET // max(n, 1))
+    bucket = F.coalesce(F.expr(f"(cast(doc_id AS bigint) - {low or 0}L) div {width}L"), F.lit(-1).cast("bigint"))
+    texts = docs.select("doc_id", "text", bucket.alias("__at"))
+    heads = materialize(_heads(texts.select(F.col("__at").alias("b"), F.col("doc_id").alias("id"))), "heads")
+    few = heads.count() <= BROADCAST
+    first = (F.col("__at") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("__head"))
+    behind = texts.join(F.broadcast(heads) if few else heads, first)
+    every = texts.select("__at", F.lit(0).alias("__behind"), "doc_id", "text").unionAll(
+        behind.select(F.col("__behind").alias("__at"), F.lit(1).alias("__behind"), "doc_id", "text")
     )
+    every = with_sketch(every.repartition("__at"), "text", "sketch")
+    order = Window.partitionBy("__at").orderBy("__behind", F.col("doc_id").desc_nulls_last(), "text")
+    ahead = every.withColumn("__next", F.lead(F.struct("text", "sketch")).over(order)).filter("__behind = 0")
+    return ahead.select("doc_id", "text", "sketch", F.col("__next.text").alias("next_text"), F.col("__next.sketch").alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -136,7 +144,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     shuffled once.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(with_sketch(texts, "text", "sketch"))
+    both = with_next(texts)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))

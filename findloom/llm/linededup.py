@@ -100,38 +100,31 @@ def _ranked(members: DataFrame, sets: DataFrame) -> DataFrame:
     return by_line.select("k1", "n", F.col("all.df").alias("dfs"), F.slice("all.token", F.lit(1), most).alias("rare"))
 
 
-def _around_hubs(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of large buckets' lines to the lines most like all others, and members (key, k1, label).
+def _hub_links(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Links (a, b) of large buckets' lines (key, k1) to the lines most like all others.
 
-    In rounds: of each bucket's lines without a label, the one whose shingles most lines have is compared with all
-    the bucket's lines. Those alike get its label, or the label that one of them has by now. A bucket leaves when
-    its hub finds under an eighth of its lines without a label, or ``SMALL`` are left; these have their own k1 as
-    one. So lines of one label are linked, through hubs.
+    In rounds: of a bucket's lines that no hub was linked to, the one whose shingles most lines have is the next hub,
+    and is compared with all the bucket's lines. A bucket leaves when its hub finds under an eighth of those that
+    are left, or ``SMALL`` are left.
     """
     rest = members.select("key", "k1")
     links = rest.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
-    labelled = rest.select("key", "k1", F.col("k1").alias("label")).limit(0)
     while True:
         counts = rest.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m"))
         crowded = materialize(rest.join(counts.filter(F.col("m") > SMALL), F.col("key") == F.col("key_")).drop("key_"), "crowded")
         if crowded.isEmpty():
-            break
+            return links
         # x: shingles shared with another line on average, roughly; over n and the other's n less x it is a likeness.
         x = F.aggregate("dfs", F.lit(0.0), lambda t, d: t + F.least(d, F.col("m")) / F.col("m"))
         near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "m", "n", x.alias("x"))
         hubs = near.groupBy("key", "m").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
-        every = crowded.select("key", "k1", F.lit(None).cast("bigint").alias("label")).unionAll(labelled)
-        tried = every.join(hubs, "key").select("key", "m", "label", "a", F.col("k1").alias("b"))
+        tried = members.select("key", F.col("k1").alias("b")).join(hubs, "key")
         found = materialize(_verified(tried, sets), "hubs")
         links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-        names = found.groupBy("key", "m", "a").agg(F.min("label").alias("known"), F.count_if(F.col("label").isNull()).alias("c"))
-        own = found.filter("label is null").select("key", F.col("b").alias("k1")).join(names, "key")
-        own = materialize(own.select("key", "k1", F.coalesce("known", "a").alias("label")), "labels")
-        labelled = labelled.unionAll(own)
-        rest = crowded.select("key", "k1").join(names.filter("c * 8 >= m").select("key"), "key", "left_semi")
-        rest = rest.join(own.select("key", "k1"), ["key", "k1"], "left_anti")
-    placed = members.select("key", "k1").join(labelled, ["key", "k1"], "left")
-    return links, placed.select("key", "k1", F.coalesce("label", "k1").alias("label"))
+        left = crowded.join(found.select("key", F.col("b").alias("k1")), ["key", "k1"], "left_anti")
+        after = left.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m_"))
+        useful = F.col("m") - F.col("m_") >= F.col("m") / 8
+        rest = left.join(after, F.col("key") == F.col("key_")).filter(useful).select("key", "k1")
 
 
 def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -167,16 +160,19 @@ def _components(lines: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
     sets = materialize(_sets(lines, materialize(wanted, "wanted")), "shingles")
     ranked = materialize(_ranked(large, sets), "ranked")
-    links, labelled = _around_hubs(large, sets, ranked)
-    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), sets)
-    parts = connected_components(links.unionAll(found.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
+    parts = connected_components(_hub_links(large, sets, ranked))
+    named = sets.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+    labelled = large.select("key", "k1").join(named, "k1")
+    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), sets).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    parts = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     for table in (signed, buckets):
         release(table)
     return parts
 
 
-def _dropped(docs: DataFrame) -> DataFrame:
-    """Of each doc_id that loses lines: __id and __gone, their numbers (from 0, by ``\\n``).
+def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines with a word (doc_id, line_no, ...), and of each doc_id that loses lines: __id and __gone, their
+    numbers (from 0, by ``\\n``).
 
     Of the lines of a component, and of equal lines, that of the smallest doc_id and then line_no is kept; null
     ids come last. Rows of one doc_id are one document: its lines of one number go or stay together.
@@ -195,23 +191,21 @@ def _dropped(docs: DataFrame) -> DataFrame:
     first = repeats.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.min(spot).alias("f"))
     placed = repeats.join(first, same)
     others = placed.filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))))
-    return others.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
-
-
-def _n_lines() -> Column:
-    """Lines with a word of the text."""
-    return F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
+    return spots, others.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """Of each doc_id: n_lines (lines with a word), n_dropped and dropped, the numbers (from 0, by
     ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; repeated rows of one
-    doc_id share a row; other columns are dropped; empty input gives an empty result.
+    doc_id share a row, which counts the lines of all; other columns are dropped; empty input gives an empty result.
     """
-    ids = docs.groupBy("doc_id").agg(F.max(_n_lines()).cast("bigint").alias("n_lines"))
-    found = ids.join(_dropped(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    spots, gone = _dropped(docs)
+    counts = spots.groupBy(F.col("doc_id").alias("__of")).agg(F.count("*").alias("__n"))
+    found = docs.select("doc_id").distinct().join(counts, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
+    found = found.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    return found.select("doc_id", "n_lines", F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped"))
+    n = F.coalesce("__n", F.lit(0)).cast("bigint")
+    return found.select("doc_id", n.alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -220,10 +214,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Columns stay as they are; n_chars, where there is one, is set anew. Documents that had no line with
     a word before are kept as they are.
     """
-    joined = docs.join(_dropped(docs), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
+    joined = docs.join(_dropped(docs)[1], F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < _n_lines())).withColumn("text", text)
+    rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < n_lines)).withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
