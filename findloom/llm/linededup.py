@@ -44,17 +44,20 @@ def _second(column: str) -> Column:
     return F.xxhash64(F.lit("findloom"), F.col(column))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines with a word: doc_id, line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """All lines: doc_id, line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.rlike("line", F.lit(_WORD)))
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": _second("line")})
 
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines with a word: doc_id, line_no (from 0), line, k1 and k2."""
+    return _lines(docs).filter(F.rlike("line", F.lit(_WORD)))
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines: k1 and keys, the hash of each band. Equal lines meet in the one shuffle here."""
-    distinct = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    hashed = distinct.select("k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
+    """Distinct lines with a word: k1 and keys, the hash of each band. Minima of a task's equal lines meet before the one shuffle here."""
+    hashed = lines.select("k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(_constant(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signed = hashed.groupBy("k1", "k2").agg(*mins)
     bands = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
@@ -89,10 +92,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(alike).drop("sa", "sb")
 
 
-def _ranked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of each line of ``members`` (k1): n, dfs (how many of these lines have each of its shingles) and rare, its
+def _ranked(sets: DataFrame) -> DataFrame:
+    """Of each line of ``sets``: k1, n, dfs (how many of these lines have each of its shingles) and rare, its
     rarest floor(n / 5) + 1 shingles, the rarest first."""
-    tokens = sets.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "n", F.explode("s").alias("token"))
+    tokens = sets.select("k1", "n", F.explode("s").alias("token"))
     spread = tokens.groupBy(F.col("token").alias("token_")).agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "token")))
     by_line = tokens.join(spread, F.col("token") == F.col("token_")).groupBy("k1", "n").agg(order.alias("all"))
@@ -147,7 +150,7 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _components(lines: DataFrame) -> DataFrame:
-    """Components (node, root) of the lines that are like others."""
+    """Components (node, root) of the lines that are like others; lines without a word are like none."""
     signed = materialize(_signed(lines), "signatures")
     keyed = signed.select("k1", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"))
@@ -159,9 +162,11 @@ def _components(lines: DataFrame) -> DataFrame:
     pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
     sets = materialize(_sets(lines, materialize(wanted, "wanted")), "shingles")
-    ranked = materialize(_ranked(large, sets), "ranked")
-    parts = connected_components(_hub_links(large, sets, ranked))
-    named = sets.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+    crowd = materialize(large.select("k1").distinct(), "crowd")
+    own = materialize(sets.join(_if_few(crowd), "k1", "left_semi"), "crowdsets")
+    ranked = materialize(_ranked(own), "ranked")
+    parts = connected_components(_hub_links(large, own, ranked))
+    named = own.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = large.select("key", "k1").join(named, "k1")
     found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), sets).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
@@ -177,11 +182,11 @@ def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of the lines of a component, and of equal lines, that of the smallest doc_id and then line_no is kept; null
     ids come last. Rows of one doc_id are one document: its lines of one number go or stay together.
     """
-    lines = lines_of(docs)
+    lines = _lines(docs)
     name = F.split("node", ":")
     number = lambda i: F.conv(F.get(name, F.lit(i)), 16, -10).cast("bigint")
     parts = _components(lines).select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
-    spots = lines.select("doc_id", "line_no", "k1", "k2")
+    spots = lines_of(docs).select("doc_id", "line_no", "k1", "k2")
     spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
     spots = materialize(spots.select("doc_id", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
     several = spots.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.count("*").alias("n")).filter("n > 1")
@@ -211,8 +216,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that go, and without documents that have no line left.
 
-    Columns stay as they are; n_chars, where there is one, is set anew. Documents that had no line with
-    a word before are kept as they are.
+    Columns stay as they are; n_chars, where there is one, is set anew where lines go. Documents that
+    had no line with a word before are kept as they are.
     """
     n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
     joined = docs.join(_dropped(docs)[1], F.col("doc_id").eqNullSafe(F.col("__id")), "left")
@@ -220,5 +225,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < n_lines)).withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(n_chars))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
