@@ -96,8 +96,14 @@ class Transducer:
         if kinds.get(3) != 2 or not kinds.get(35) or rules.get(2) or rules.get(4) != 0:
             raise ValueError("a model with ranked merges, byte fallback and identity normalisation is needed")
         self.dummy = rules.get(3, 1) == 1
-        self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.trie: dict = {}
+        for piece in self.ids:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.held = 0
         self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -117,31 +123,39 @@ class Transducer:
 
     def fits(self, u: str, v: str) -> bool:
         """Whether the arc from u (empty: the start) to v has weight 0."""
-        if len(self.pairs) > 4 * REMEMBERED:
-            self.pairs.clear()
-        found = self.pairs[u, v] = self.merged(u + v) == ([u, v] if u else [v])
+        if self.held > 4 * REMEMBERED:
+            self.follows.clear()
+            self.held = 0
+        found = self.merged(u + v) == ([u, v] if u else [v])
+        self.follows.setdefault(u, {})[v] = found
+        self.held += 1
         return found
 
     def path(self, text: str) -> list[str]:
         """Shortest path through the lattice of a text: the one segmentation whose pairs all fit.
 
-        From left to right each position keeps the last piece of the one path of weight 0 that reaches
-        it, if there is one; the backward pass reads the pieces off.
+        From left to right, pieces are read off the trie at each position that a path of weight 0 reaches; an
+        end keeps the last piece of the one such path that reaches it. The backward pass reads the pieces off.
         """
-        n, ids, pairs, longest = len(text), self.ids, self.pairs, self.longest
+        n, trie, follows, fits = len(text), self.trie, self.follows, self.fits
         last: list[str | None] = [None] * (n + 1)
         last[0] = ""
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                u = last[start]
-                if u is None:
-                    continue
-                piece = text[start:end]
-                if piece in ids or end - start == 1:
-                    fits = pairs.get((u, piece))
-                    if self.fits(u, piece) if fits is None else fits:
-                        last[end] = piece
-                        break
+        for start in range(n):
+            u = last[start]
+            if u is None:
+                continue
+            known = follows.get(u) or follows.setdefault(u, {})
+            node, at = trie, start
+            while at < n and (node := node.get(text[at])) is not None:
+                at += 1
+                v = node.get("")
+                if v is not None and last[at] is None:
+                    found = known.get(v)
+                    if fits(u, v) if found is None else found:
+                        last[at] = v
+            v = text[start]
+            if last[start + 1] is None and v not in self.ids and fits(u, v):
+                last[start + 1] = v
         out, at = [], n
         while at:
             out.append(last[at])
