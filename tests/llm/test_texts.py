@@ -133,10 +133,10 @@ def test_url_trees(spark):
     rng = random.Random(3)
     urls = []
     for i in range(400):
-        spam = i % 2
-        tail = "".join(rng.choice("0123456789") for _ in range(30)) + "?a=1&b=2" if spam else "plain-words"
-        host = ("x.net" if spam else "example.net") if i % 4 < 2 else "other.info"
-        urls.append((i, f"http://{host}/{'' if spam else 'en/'}{tail}"))
+        junk = i % 2
+        tail = "".join(rng.choice("0123456789") for _ in range(30)) + "?a=1&b=2" if junk else "plain-words"
+        host = ("x.net" if junk else "example.net") if i % 4 < 2 else "other.info"
+        urls.append((i, f"http://{host}/{'' if junk else 'en/'}{tail}"))
     got = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
     free = [i for i, _ in urls if i % 4 >= 2]
     assert np.mean([(got[i]["verdict"] == "block") == bool(i % 2) for i in free]) > 0.9
