@@ -2,11 +2,12 @@
 
 Distinct lines get MinHash signatures of their character shingles; lines that share a band are
 candidates, checked by exact Jaccard likeness; links are joined by distributed union-find, and of each
-component the earliest line stays. Shingles are the ``WIDTH`` characters from each start of a word on,
-so that a line costs a row per word instead of one per character.
+component the earliest line stays. Shingles are the ``WIDTH`` characters from each position on, so that every
+character of a line is in some; a shorter line is its own one shingle.
 
 A shingle is hashed once, to h; its hash by permutation i is h xor a constant, and the least of these
-over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives all its pairs. In larger
+over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives its pairs whose MinHashes,
+one of each band, agree ``AGREE`` times or more, as short shingles meet in unlike lines too. In larger
 ones, lines are compared with a hub, the line most like the others; lines linked to one hub need no link
 among themselves. Other pairs that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which
 loses none. So no group of alike lines is compared pair by pair.
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, release
 
-WIDTH, THRESHOLD = 12, 0.8
-#: At a likeness of 0.8, eight bands of three miss 0.3 % of pairs; at 0.9, under one in a million.
-BANDS, ROWS = 8, 3
+WIDTH, THRESHOLD = 5, 0.8
+#: At a likeness of 0.8, fifteen bands of five miss 0.3 % of pairs; at 0.9, two in a million.
+BANDS, ROWS = 15, 5
+#: Of one MinHash of each band, four bits each, so many agree; of pairs at 0.8, 6 in 100,000 have fewer.
+AGREE = 6
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
 #: Rows of one or two numbers that are broadcast, at most: 16 MB.
@@ -35,9 +38,21 @@ def _constant(i: int) -> Column:
     return F.lit(value - (1 << 64) if value >> 63 else value)
 
 
+def _shingle(coded: Column, i: Column) -> Column:
+    """The hash of shingle i of a line as UTF-32, in which every character has four bytes."""
+    return F.xxhash64(F.substring(coded, 4 * i + 1, F.lit(4 * WIDTH)))
+
+
+def _starts(coded: Column) -> Column:
+    """Positions of the shingles: one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.length(coded) / 4).cast("int") - WIDTH, F.lit(0)))
+
+
 def _shingles(line: Column) -> Column:
-    """The ``WIDTH`` characters from each start of a word on; fewer at the end."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=({_WORD}{'.?' * (WIDTH - 1)})){_WORD}+"), F.lit(1))
+    """The set of hashes of the line's shingles."""
+    # A variable of the outer lambda holds the coded line, so that it's coded once and not for each shingle.
+    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda x: F.transform(_starts(x), lambda i: _shingle(x, i)))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _second(column: str) -> Column:
@@ -56,12 +71,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines with a word: k1 and keys, the hash of each band. Minima of a task's equal lines meet before the one shuffle here."""
-    hashed = lines.select("k1", "k2", F.explode(_shingles(F.col("line"))).alias("s")).select("k1", "k2", F.xxhash64("s").alias("h"))
+    """Distinct lines with a word: k1, keys, the hash of each band, and bits, four of one MinHash of each band.
+
+    Lines are shuffled once, by their hashes, and signed behind the shuffle: a line is smaller than its MinHashes.
+    """
+    texts = lines.filter(F.rlike("line", F.lit(_WORD))).select("k1", "k2", "line").repartition("k1", "k2")
+    coded = texts.select("k1", "k2", F.encode("line", "UTF-32").alias("coded"))
+    placed = coded.select("k1", "k2", "coded", F.explode(_starts(F.col("coded"))).alias("i"))
+    hashed = placed.select("k1", "k2", _shingle(F.col("coded"), F.col("i")).alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(_constant(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signed = hashed.groupBy("k1", "k2").agg(*mins)
     bands = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
-    return signed.select("k1", F.array(*bands).alias("keys"))
+    bits = F.lit(0).cast("bigint")
+    for k in range(BANDS):
+        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k * ROWS}").bitwiseAND(F.lit(15)), 4 * k))
+    return signed.select("k1", F.array(*bands).alias("keys"), bits.alias("bits"))
+
+
+def _agree(x: Column) -> Column:
+    """Whether ``AGREE`` or more of the ``BANDS`` groups of four bits are 0 in ``x``, two lines' bits by exclusive or."""
+    other = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+    return F.bit_count(other.bitwiseAND(F.lit(sum(1 << 4 * k for k in range(BANDS))))) <= BANDS - AGREE
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -74,28 +104,34 @@ def _if_few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k1, node (the line's name among components), s (the set of its shingles' hashes) and n (their number), of the lines in ``wanted`` (k1, each once)."""
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, node (the line's name among components) and line, of the lines in ``wanted`` (k1, each once)."""
     texts = lines.select("k1", "k2", "line").join(_if_few(wanted), "k1", "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    hashes = F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    named = texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), hashes.alias("s"))
-    return named.withColumn("n", F.size("s"))
+    return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), "line")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose Jaccard likeness is ``THRESHOLD`` or more, with all columns and the nodes na and nb.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard likeness is ``THRESHOLD`` or more, with all columns and the nodes na and nb."""
-    side = lambda c: sets.select(F.col("k1").alias(c), F.col("node").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+    Lines are cut into shingles here, as their hashes take many times a line's space.
+    """
+    side = lambda c: texts.select(F.col("k1").alias(c), F.col("node").alias(f"n{c}"), F.col("line").alias(f"l{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)
-    return both.filter(alike).drop("sa", "sb")
+    sets = F.array(F.struct(_shingles(F.col("la")).alias("a"), _shingles(F.col("lb")).alias("b")))
+
+    def alike(x: Column) -> Column:
+        common = F.size(F.array_intersect(x["a"], x["b"]))
+        return common >= THRESHOLD * (F.size(x["a"]) + F.size(x["b"]) - common)
+
+    return both.filter(F.exists(sets, alike)).drop("la", "lb")
 
 
-def _ranked(sets: DataFrame) -> DataFrame:
-    """Of each line of ``sets``: k1, n, dfs (how many of these lines have each of its shingles) and rare, its
+def _ranked(texts: DataFrame) -> DataFrame:
+    """Of each line of ``texts``: k1, n (its shingles), dfs (how many of these lines have each) and rare, its
     rarest floor(n / 5) + 1 shingles, the rarest first."""
-    tokens = sets.select("k1", "n", F.explode("s").alias("token"))
+    sets = materialize(texts.select("k1", _shingles(F.col("line")).alias("s")), "shingles")
+    tokens = sets.select("k1", F.size("s").alias("n"), F.explode("s").alias("token"))
     spread = tokens.groupBy(F.col("token").alias("token_")).agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "token")))
     by_line = tokens.join(spread, F.col("token") == F.col("token_")).groupBy("k1", "n").agg(order.alias("all"))
@@ -103,7 +139,7 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return by_line.select("k1", "n", F.col("all.df").alias("dfs"), F.slice("all.token", F.lit(1), most).alias("rare"))
 
 
-def _hub_links(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> DataFrame:
+def _hub_links(members: DataFrame, texts: DataFrame, ranked: DataFrame) -> DataFrame:
     """Links (a, b) of large buckets' lines (key, k1) to the lines most like all others.
 
     In rounds: of a bucket's lines that no hub was linked to, the one whose shingles most lines have is the next hub,
@@ -122,7 +158,7 @@ def _hub_links(members: DataFrame, sets: DataFrame, ranked: DataFrame) -> DataFr
         near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "m", "n", x.alias("x"))
         hubs = near.groupBy("key", "m").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
         tried = members.select("key", F.col("k1").alias("b")).join(hubs, "key")
-        found = materialize(_verified(tried, sets), "hubs")
+        found = materialize(_verified(tried, texts), "hubs")
         links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
         left = crowded.join(found.select("key", F.col("b").alias("k1")), ["key", "k1"], "left_anti")
         after = left.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m_"))
@@ -152,23 +188,24 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
 def _components(lines: DataFrame) -> DataFrame:
     """Components (node, root) of the lines that are like others; lines without a word are like none."""
     signed = materialize(_signed(lines), "signatures")
-    keyed = signed.select("k1", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"))
-    buckets = materialize(buckets.filter("n > 1"), "buckets")
-    members = materialize(keyed.join(_if_few(buckets.filter("n > 2").select("key", "n")), "key"), "members")
+    keyed = signed.select("k1", "bits", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), F.bit_xor("bits").alias("x"))
+    buckets = materialize(buckets.filter((F.col("n") > 2) | (F.col("n") == 2) & _agree(F.col("x"))), "buckets")
+    members = materialize(keyed.join(_if_few(materialize(buckets.filter("n > 2").select("key", "n"), "several")), "key"), "members")
     small = members.filter(F.col("n") <= SMALL)
     large = members.filter(F.col("n") > SMALL)
-    pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key").filter("a < b")
+    side = lambda c: small.select("key", F.col("k1").alias(c), F.col("bits").alias(f"x{c}"))
+    pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & _agree(F.col("xa").bitwiseXOR(F.col("xb"))))
     pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
-    sets = materialize(_sets(lines, materialize(wanted, "wanted")), "shingles")
+    texts = materialize(_texts(lines, materialize(wanted, "wanted")), "texts")
     crowd = materialize(large.select("k1").distinct(), "crowd")
-    own = materialize(sets.join(_if_few(crowd), "k1", "left_semi"), "crowdsets")
+    own = materialize(texts.join(_if_few(crowd), "k1", "left_semi"), "crowdtexts")
     ranked = materialize(_ranked(own), "ranked")
     parts = connected_components(_hub_links(large, own, ranked))
     named = own.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = large.select("key", "k1").join(named, "k1")
-    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), sets).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
     for table in (signed, buckets):
         release(table)

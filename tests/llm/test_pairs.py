@@ -331,3 +331,25 @@ def test_extra_columns(spark):
     assert simhash.keep_one(docs).count() == 2 and simhash.keep_one(docs).columns == docs.columns
     assert linededup.dedup_lines(docs).columns == docs.columns and mixing.mix_documents(docs).columns == docs.columns
     assert isinstance(simhash.near_duplicates(docs).schema["doc_id"].dataType, T.LongType)
+
+
+def likeness_by_force(a, b):
+    """Jaccard likeness of the character shingles at every position."""
+    a, b = (frozenset(x[i : i + 5] for i in range(max(1, len(x) - 4))) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_line_dedup_changed_letters(spark):
+    """Lines of ordinary length in which one letter differs, at a likeness of 0.8 or more."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n))
+    texts = []
+    for n in [8, 9, 10, 12, 15, 20, 25] * 12:
+        line = " ".join(letters(rng.randint(4, 9)) for _ in range(n))
+        at = rng.randrange(len(line))
+        other = line[:at] + "X" + line[at + 1 :]
+        if likeness_by_force(line, other) >= 0.8:
+            texts += [line, other]
+    assert len(texts) > 130
+    got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(len(texts))}
