@@ -353,3 +353,14 @@ def test_line_dedup_changed_letters(spark):
     assert len(texts) > 130
     got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
     assert got == {i: [0] if i % 2 else [] for i in range(len(texts))}
+
+
+def test_line_dedup_long_words(spark):
+    """Lines that differ behind the twelfth character of a word all stay."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"https://www.{digits(30)}" for _ in range(6)] + [f"sha256-common{digits(40)}" for _ in range(6)]
+    texts += ["今日はとても良い天気ですね" + "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(30)) for _ in range(6)]
+    texts.append(texts[-1][:-1] + "X")
+    got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
+    assert got == {i: [0] if i == 18 else [] for i in range(19)}
