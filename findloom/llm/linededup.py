@@ -59,14 +59,19 @@ def _second(column: str) -> Column:
     return F.xxhash64(F.lit("findloom"), F.col(column))
 
 
+def _row() -> Column:
+    """What tells a document from others of its id or of null ids: a hash of both id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines: doc_id, line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """All lines: doc_id, row (see ``_row``), line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
+    lines = docs.select("doc_id", _row().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": _second("line")})
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines with a word: doc_id, line_no (from 0), line, k1 and k2."""
+    """Lines with a word: doc_id, row, line_no (from 0), line, k1 and k2."""
     return _lines(docs).filter(F.rlike("line", F.lit(_WORD)))
 
 
@@ -213,38 +218,39 @@ def _components(lines: DataFrame) -> DataFrame:
 
 
 def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, line_no, ...), and of each doc_id that loses lines: __id and __gone, their
-    numbers (from 0, by ``\\n``).
+    """All lines with a word (doc_id, row, line_no, ...), and of each document that loses lines: __id, __row and
+    __gone, their numbers (from 0, by ``\\n``).
 
-    Of the lines of a component, and of equal lines, that of the smallest doc_id and then line_no is kept; null
-    ids come last. Rows of one doc_id are one document: its lines of one number go or stay together.
+    Of the lines of a component, and of equal lines, that of the smallest doc_id, then of the least row and line_no
+    is kept; null ids come last. Rows equal in doc_id and text are one document, others are documents of their own.
     """
     lines = _lines(docs)
     name = F.split("node", ":")
     number = lambda i: F.conv(F.get(name, F.lit(i)), 16, -10).cast("bigint")
     parts = _components(lines).select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
-    spots = lines_of(docs).select("doc_id", "line_no", "k1", "k2")
+    spots = lines_of(docs).select("doc_id", "row", "line_no", "k1", "k2")
     spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
-    spots = materialize(spots.select("doc_id", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
+    spots = materialize(spots.select("doc_id", "row", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
     several = spots.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.count("*").alias("n")).filter("n > 1")
     same = (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))
     repeats = materialize(spots.join(several.select("f1", "f2"), same).drop("f1", "f2"), "repeats")
-    spot = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")
+    spot = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "line_no")
     first = repeats.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.min(spot).alias("f"))
     placed = repeats.join(first, same)
-    others = placed.filter(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line_no") == F.col("f.line_no"))))
-    return spots, others.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
+    kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("row") == F.col("f.row")) & (F.col("line_no") == F.col("f.line_no"))
+    return spots, placed.filter(~kept).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """Of each doc_id: n_lines (lines with a word), n_dropped and dropped, the numbers (from 0, by
-    ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; repeated rows of one
-    doc_id share a row, which counts the lines of all; other columns are dropped; empty input gives an empty result.
+    """Of each document: doc_id, n_lines (lines with a word), n_dropped and dropped, the numbers (from 0, by
+    ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; rows equal in doc_id
+    and text share a row, which counts the lines of all; rows of one doc_id with other texts have their own; other columns are dropped; empty input gives an empty result.
     """
     spots, gone = _dropped(docs)
-    counts = spots.groupBy(F.col("doc_id").alias("__of")).agg(F.count("*").alias("__n"))
-    found = docs.select("doc_id").distinct().join(counts, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
-    found = found.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    counts = spots.groupBy(F.col("doc_id").alias("__of"), F.col("row").alias("__in")).agg(F.count("*").alias("__n"))
+    found = docs.select("doc_id", _row().alias("row")).distinct()
+    found = found.join(counts, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("row") == F.col("__in")), "left")
+    found = found.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")), "left")
     gone = F.coalesce("__gone", F.array().cast("array<int>"))
     n = F.coalesce("__n", F.lit(0)).cast("bigint")
     return found.select("doc_id", n.alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped"))
@@ -257,7 +263,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     had no line with a word before are kept as they are.
     """
     n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
-    joined = docs.join(_dropped(docs)[1], F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
+    joined = docs.withColumn("__own", _row()).join(_dropped(docs)[1], same, "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < n_lines)).withColumn("text", text)

@@ -364,3 +364,14 @@ def test_line_dedup_long_words(spark):
     texts.append(texts[-1][:-1] + "X")
     got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
     assert got == {i: [0] if i == 18 else [] for i in range(19)}
+
+
+def test_line_dedup_rows(spark):
+    """Rows with null ids, or of one id with other texts, are documents of their own."""
+    rows = [(None, "first unique line\nshared by these rows"), (None, "another one of its own\nshared by these rows"), (None, "no line in common")]
+    rows += [(7, "shared by these rows\nseven's text"), (7, "a text apart\nwith its own second"), (8, "alone again\nwith its own second")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["text"] for r in linededup.dedup_lines(docs).collect()))
+    assert kept == sorted(["first unique line", "another one of its own", "no line in common", "shared by these rows\nseven's text", "a text apart\nwith its own second", "alone again"])
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.dedup_report(docs).collect())
+    assert got == sorted([("None", 2, [1]), ("None", 2, [1]), ("None", 1, []), ("7", 2, []), ("7", 2, []), ("8", 2, [1])])
