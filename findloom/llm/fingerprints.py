@@ -38,8 +38,8 @@ def _inner(h: Column) -> Column:
 def _anchors(m: Column) -> Column:
     """Hashes of the closed syncmers, null where a window isn't one. ``m``: a column of inner hashes.
 
-    The last inner hash is of one word, so there are size - K + 1 windows. A text of 1 to K - 1 words
-    has its whole sequence as its one anchor; one without words has none.
+    The last inner hash is of one word, so there are size - K + 1 windows. A text of 1 to K - 1 words, or
+    one in which no window is a syncmer, has its whole sequence as its one anchor; one without words has none.
     """
     n = F.size(m)
 
@@ -48,7 +48,10 @@ def _anchors(m: Column) -> Column:
         return F.when(F.least(a, d) <= F.least(b, c), F.xxhash64(a, b, c, d))
 
     found = F.transform(F.sequence(F.lit(0), n - K), window)
-    return F.when(n >= K, found).when(n > 0, F.array(F.xxhash64(m))).otherwise(F.array().cast("array<bigint>"))
+    # A variable of the outer lambda holds the windows, so that they're computed once.
+    whole = F.array(F.xxhash64(m))
+    some = F.get(F.transform(F.array(found), lambda x: F.when(F.exists(x, lambda h: h.isNotNull()), x).otherwise(whole)), F.lit(0))
+    return F.when(n >= K, some).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _sketch(anchors: Column) -> Column:

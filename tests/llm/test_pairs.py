@@ -375,3 +375,12 @@ def test_line_dedup_rows(spark):
     assert kept == sorted(["first unique line", "another one of its own", "no line in common", "shared by these rows\nseven's text", "a text apart\nwith its own second", "alone again"])
     got = sorted((str(r["doc_id"]), r["n_lines"], r["dropped"]) for r in linededup.dedup_report(docs).collect())
     assert got == sorted([("None", 2, [1]), ("None", 2, [1]), ("None", 1, []), ("7", 2, []), ("7", 2, []), ("8", 2, [1])])
+
+
+def test_fingerprints_without_syncmers(spark):
+    """Texts of 5 and 6 words have a fingerprint each, also where no window is a syncmer."""
+    rng = random.Random(13)
+    docs = documents(spark, [words(rng, 5 + i % 2, 10**6) for i in range(60)])
+    got = [r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()]
+    assert "" not in got and len(set(got)) == 60
+    assert {r["doc_id"] for r in fingerprints.anchors(docs).collect()} == set(range(60))
