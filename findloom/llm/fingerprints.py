@@ -3,7 +3,8 @@
 A document's words are hashed; a window of ``K`` words is an anchor if the least of its inner hashes,
 those of ``S`` words each, stands at either edge. Whether a window is one depends on its own words
 alone, so passages shared by two documents have the same anchors wherever they stand. A fingerprint
-holds the ``SKETCH`` least distinct anchor hashes, an unbiased sketch of the set of all anchors.
+holds the ``SKETCH`` least distinct anchor hashes, an unbiased sketch of the set of all anchors; likenesses
+are those of the whole sets.
 """
 
 from __future__ import annotations
@@ -54,29 +55,29 @@ def _anchors(m: Column) -> Column:
     return F.when(n >= K, some).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def _sketch(anchors: Column) -> Column:
-    return F.slice(F.sort_array(F.array_compact(F.array_distinct(anchors))), 1, SKETCH)
+def _set(anchors: Column) -> Column:
+    return F.sort_array(F.array_compact(F.array_distinct(anchors)))
 
 
-def _text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def _text(anchors: Column) -> Column:
+    """The fingerprint: the least of a sorted set of anchors."""
+    return F.array_join(F.transform(F.slice(anchors, 1, SKETCH), lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the sketch of column ``text`` as array column ``out``. Each step is a projection of its own, so nothing is computed twice."""
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the sorted set of all anchors of column ``text`` as array column ``out``. Each step is a projection of its own, so nothing is computed twice."""
     own = [F.col(f"`{c}`") for c in df.columns]
     df = df.select(*own, _hashes(F.coalesce(F.col(text), F.lit(""))).alias("__h"))
     df = df.select(*own, _inner(F.col("__h")).alias("__m"))
     df = df.select(*own, _anchors(F.col("__m")).alias("__a"))
-    return df.select(*own, _sketch(F.col("__a")).alias(out))
+    return df.select(*own, _set(F.col("__a")).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the anchor sets of two sketches, 0 to 1: of the least hashes of
-    both together, the share that stands in both. Two empty ones are alike (1)."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(both / F.size(least))
+    """Jaccard likeness of two sets of anchors, 0 to 1. Two empty ones are alike (1)."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
+    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def _heads(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and sketch, and next_text and next_sketch: those of the next document by descending
+    """doc_id, text and anchors, and next_text and next_anchors: those of the next document by descending
     doc_id (a whole number); after the last comes the first.
 
     Ids are cut into even ranges of about ``BUCKET`` rows each, and a range's rows are ordered together,
@@ -126,19 +127,19 @@ def with_next(docs: DataFrame) -> DataFrame:
     every = texts.select("__at", F.lit(0).alias("__behind"), "doc_id", "text").unionAll(
         behind.select(F.col("__behind").alias("__at"), F.lit(1).alias("__behind"), "doc_id", "text")
     )
-    every = with_sketch(every.repartition("__at"), "text", "sketch")
+    every = with_anchors(every.repartition("__at"), "text", "anchors")
     order = Window.partitionBy("__at").orderBy("__behind", F.col("doc_id").desc_nulls_last(), "text")
-    ahead = every.withColumn("__next", F.lead(F.struct("text", "sketch")).over(order)).filter("__behind = 0")
-    return ahead.select("doc_id", "text", "sketch", F.col("__next.text").alias("next_text"), F.col("__next.sketch").alias("next_sketch"))
+    ahead = every.withColumn("__next", F.lead(F.struct("text", "anchors")).over(order)).filter("__behind = 0")
+    return ahead.select("doc_id", "text", "anchors", F.col("__next.text").alias("next_text"), F.col("__next.anchors").alias("next_anchors"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint: the least anchor hashes of the whole text, empty if it has no words."""
-    return with_sketch(docs.select("doc_id", "text"), "text", "__s").select("doc_id", _text(F.col("__s")).alias("fingerprint"))
+    return with_anchors(docs.select("doc_id", "text"), "text", "__s").select("doc_id", _text(F.col("__s")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likeness.
+    """Fingerprints of each document and of its edited text, and the likeness of all their anchors.
 
     The edited text: the last floor(n / 2) of a text's n code points give way to as many of the first
     ones of the next document, or all of them. Null texts are empty, empty ones have an empty
@@ -152,13 +153,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     both = both.withColumns({"n_chars": n.cast("bigint"), "edited": edited})
-    both = with_sketch(both.select("doc_id", "n_chars", "sketch", "next_sketch", "edited"), "edited", "edited_sketch")
+    both = with_anchors(both.select("doc_id", "n_chars", "anchors", "next_anchors", "edited"), "edited", "edited_anchors")
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        _text(F.col("sketch")).alias("fingerprint"),
-        _text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        _text(F.col("anchors")).alias("fingerprint"),
+        _text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

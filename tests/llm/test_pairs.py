@@ -384,3 +384,19 @@ def test_fingerprints_without_syncmers(spark):
     got = [r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()]
     assert "" not in got and len(set(got)) == 60
     assert {r["doc_id"] for r in fingerprints.anchors(docs).collect()} == set(range(60))
+
+
+def test_likeness_of_all_anchors(spark):
+    """Likenesses are those of all anchors, also of long texts that share one passage or differ in one place."""
+    rng = random.Random(14)
+    passage, long = words(rng, 50, 10**6), words(rng, 4000, 10**6)
+    parts = long.split(" ")
+    parts[2000:2020] = words(rng, 20, 10**6).split(" ")
+    texts = [words(rng, 3000, 10**6) + " " + passage, words(rng, 3000, 10**6) + " " + passage, long, " ".join(parts)]
+    docs = documents(spark, texts)
+    sets = {i: set() for i in range(4)}
+    for r in fingerprints.anchors(docs).collect():
+        sets[r["doc_id"]].add(r["anchor"])
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.edited_fingerprints(docs).collect()}
+    want = {i: len(sets[i] & sets[(i - 1) % 4]) / len(sets[i] | sets[(i - 1) % 4]) for i in range(4)}
+    assert got == pytest.approx(want) and 0 < got[1] < 0.05 and 0.98 < got[3] < 1
