@@ -37,6 +37,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "acronym", "ruby", "rt", "rp"}
 #: Tags that end an open element of the same kind, as authors leave their ends out.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+#: Tags that can stand in a head; any other ends an open one.
+HEAD = {"html", "head", "base", "link", "meta", "title", "style", "script", "noscript", "template", "noframes", "basefont", "bgsound"}
+#: Tags of HTML that end open drawings and formulas.
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Tags that end other hidden elements.
+ENDS = {"svg": BREAKOUT, "math": BREAKOUT, "select": {"input", "keygen", "textarea", "select"}, "button": {"button"}}
 SCOPES = {"ul", "ol", "table", "dl", "div", "article", "section", "aside", "nav", "footer", "header", "main", "form", "body", "blockquote"}
 
 
@@ -86,6 +92,8 @@ def blocks_of(html: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and text.strip():
+            pop(len(stack) - 1)
         if not hidden and text:
             held.append(text)
             if anchors:
@@ -109,6 +117,18 @@ def blocks_of(html: str) -> list[Block]:
             if name in ("p", "br"):
                 flush()
             continue
+        if hidden:
+            ended = ""
+            for i in range(len(stack) - 1, -1, -1):
+                kind = stack[i][0]
+                if kind in ("template", "foreignobject", "desc"):
+                    break
+                if kind == "head" and name not in HEAD or name in ENDS.get(kind, ()):
+                    pop(i)
+                    ended = kind
+                    break
+            if ended == name == "select":
+                continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(html, at)
             at = end.end() if end else len(html)

@@ -314,3 +314,16 @@ def test_queries_are_whole(spark, name):
     key = "page_id" if table == "pages" else "doc_id"
     want = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
     assert sorted(r[0] for r in found.select(key).collect()) == want
+
+
+def test_html_implied_ends():
+    """A head ends at what can't stand in it, and other hidden elements where HTML implies their end."""
+    said = lambda page: [b.text for b in html.blocks_of(page)]
+    head = "<html><head><title>t</title><meta charset=utf-8><style>x</style>"
+    assert said(head + "<body><p>One<p>Two") == ["One", "Two"]
+    assert said(head + "<div>One</div>") == ["One"] and said(head + "\n One <p>Two") == ["One", "Two"]
+    assert said(head + "<template><p>no</p></template></head><body><p>One") == ["One"]
+    assert said("<div><svg><path d=''><text>no</text><p>One</div>") == ["One"]
+    assert said("<svg><foreignObject><p>no</p></foreignObject></svg><p>One") == ["One"]
+    assert said("<form><select><option>no<select><p>One</form>") == ["One"]
+    assert said("<div><button>no<button>no</button><p>One</div>") == ["One"]
