@@ -58,7 +58,7 @@ def _words(attributes: str) -> tuple[str, ...]:
     found: list[str] = []
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        found += [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)][:12]
+        found += [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
         if m[1].lower() in ("hidden", "aria-hidden") and value.lower() != "false":
             found.append("hidden")
     return tuple(dict.fromkeys(found))
@@ -184,11 +184,12 @@ def features(block: Block, i: int, n: int, cache: dict[tuple, list[int]]) -> lis
         f"tag {block.tag}",
         f"words {min(6, words.bit_length())}",
         f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}",
-        f"stops {min(3, len(_STOP.findall(text[:2000])))}",
+        f"stops {min(3, len(_STOP.findall(text)))}",
         f"place {min(4, 5 * i // max(1, n))}",
     ]
-    low = text[:400].lower()
-    traits += [f"hint {h}" for h in _HINTS if h in low and words < 60]
+    if words < 60:
+        low = text.lower()
+        traits += [f"hint {h}" for h in _HINTS if h in low]
     return known + [_hash(x) for x in traits]
 
 

@@ -327,3 +327,11 @@ def test_html_implied_ends():
     assert said("<svg><foreignObject><p>no</p></foreignObject></svg><p>One") == ["One"]
     assert said("<form><select><option>no<select><p>One</form>") == ["One"]
     assert said("<div><button>no<button>no</button><p>One</div>") == ["One"]
+
+
+def test_html_features_of_whole_blocks():
+    """Hints, sentence ends and tokens count wherever they stand."""
+    hashed = lambda page: html.features(html.blocks_of(page)[0], 0, 1, {})
+    assert html._hash("hint all rights") in hashed(f"<p>{'longishword ' * 50} all rights reserved")
+    assert html._hash("stops 3") in hashed(f"<p>{'word ' * 500} One. Two. Three.")
+    assert html._hash("word sidebar") in hashed(f"<div class='{' '.join('abcdefghijklmn')} sidebar'>text</div>")
