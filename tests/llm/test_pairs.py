@@ -400,3 +400,8 @@ def test_likeness_of_all_anchors(spark):
     got = {r["doc_id"]: r["near_next"] for r in fingerprints.edited_fingerprints(docs).collect()}
     want = {i: len(sets[i] & sets[(i - 1) % 4]) / len(sets[i] | sets[(i - 1) % 4]) for i in range(4)}
     assert got == pytest.approx(want) and 0 < got[1] < 0.05 and 0.98 < got[3] < 1
+
+
+def test_line_dedup_stated_recall():
+    missed = lambda likeness: (1 - likeness**linededup.ROWS) ** linededup.BANDS
+    assert missed(0.8) < 0.003 and missed(0.9) < 2e-6
