@@ -5,20 +5,29 @@ candidates, checked by exact Jaccard likeness; links are joined by distributed u
 component the earliest line stays. Shingles are the ``WIDTH`` characters from each position on, so that every
 character of a line is in some; a shorter line is its own one shingle.
 
-A shingle is hashed once, to h; its hash by permutation i is h xor a constant, and the least of these
+A shingle is hashed once, to h; its hash by permutation i is h times an odd constant, and the least of these
 over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives its pairs whose MinHashes,
 one of each band, agree ``AGREE`` times or more, as short shingles meet in unlike lines too. In larger
 ones, lines are compared with a hub, the line most like the others; lines linked to one hub need no link
 among themselves. Other pairs that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which
 loses none. So no group of alike lines is compared pair by pair.
+
+Lines are cut and signed in numpy, batch by batch: with SQL functions alone, shingles at every position cost
+three times the check tool's budget (README, "Check tool"). All joins and groups are DataFrames.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release
+from .common import connected_components, materialize
+from .kernels import chunks, mix, texts_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: At a likeness of 0.8, fifteen bands of five miss 0.3 % of pairs; at 0.9, two in a million.
@@ -29,34 +38,89 @@ AGREE = 6
 SMALL = 16
 #: Rows of one or two numbers that are broadcast, at most: 16 MB.
 BROADCAST = 1_000_000
-_GOLDEN = 0x9E3779B97F4A7C15
+#: A line that occurs more often than this is looked up by a broadcast, as all its places would meet in one task.
+COMMON = 10_000
+#: Bytes of text that are signed at once, and lines that a task remembers so as to sign them once.
+CHUNK, REMEMBERED = 1 << 18, 1 << 20
+_BLANK = " \t\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _constant(i: int) -> Column:
-    value = (i + 1) * _GOLDEN % (1 << 64)
-    return F.lit(value - (1 << 64) if value >> 63 else value)
-
-
-def _shingle(coded: Column, i: Column) -> Column:
-    """The hash of shingle i of a line as UTF-32, in which every character has four bytes."""
-    return F.xxhash64(F.substring(coded, 4 * i + 1, F.lit(4 * WIDTH)))
-
-
-def _starts(coded: Column) -> Column:
-    """Positions of the shingles: one at least."""
-    return F.sequence(F.lit(0), F.greatest(F.floor(F.length(coded) / 4).cast("int") - WIDTH, F.lit(0)))
-
-
-def _shingles(line: Column) -> Column:
-    """The set of hashes of the line's shingles."""
-    # A variable of the outer lambda holds the coded line, so that it's coded once and not for each shingle.
-    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda x: F.transform(_starts(x), lambda i: _shingle(x, i)))
-    return F.array_distinct(F.get(each, F.lit(0)))
-
-
-def _second(column: str) -> Column:
-    return F.xxhash64(F.lit("findloom"), F.col(column))
+def _factors() -> np.ndarray:
+    """The odd constants of the permutations."""
+    return mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+
+
+def _sign(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each band of the lines ``codes[start:end]`` (code points), and bits, four of one MinHash of each band."""
+    padded = np.concatenate([codes, np.zeros(WIDTH, codes.dtype)])
+    n = len(codes)
+    h = np.zeros(n + 1, np.uint64)
+    for k in range(WIDTH):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += padded[k : n + 1 + k]
+    for s, e in zip(start[end - start < WIDTH].tolist(), end[end - start < WIDTH].tolist(), strict=True):
+        h[s] = xxhash.xxh3_64_intdigest(codes[s:e].tobytes())
+    counts = np.maximum(end - start - WIDTH + 1, 1)
+    edges = np.zeros(n + 2, np.int8)
+    edges[start] += 1
+    np.subtract.at(edges, start + counts, 1)
+    hashes = (mix(h[np.cumsum(edges[: n + 1], dtype=np.int8) > 0]) >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    keys, bits = np.empty((len(start), BANDS), np.uint64), np.zeros(len(start), np.uint64)
+    spare = np.empty_like(hashes)
+    for i, factor in enumerate(_factors()):
+        band, row = divmod(i, ROWS)
+        least = np.minimum.reduceat(np.multiply(hashes, factor, out=spare), starts).astype(np.uint64)
+        if not row:
+            keys[:, band] = band + 1
+            bits |= (mix(least * np.uint64(0x94D049BB133111EB)) & np.uint64(15)) << np.uint64(4 * band)
+        keys[:, band] = mix((keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15))
+    return keys.view(np.int64), bits.view(np.int64)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines with a word of documents (doc_id, row, text), as ``_lines`` has them."""
+    known: set[int] = set()
+    for batch in batches:
+        texts = texts_of(batch)
+        for a, b in chunks(texts, CHUNK):
+            joined = b"\n".join(texts[a:b]).decode("utf-8", "replace")
+            lines = joined.split("\n")
+            per = np.fromiter((x.count(b"\n") + 1 for x in texts[a:b]), np.int64, b - a)
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+            at = np.array([i for i, x in enumerate(lines) if x.strip(_BLANK)], np.int64)
+            if not len(at):
+                continue
+            owner = np.repeat(np.arange(b - a), per)[at]
+            number = (np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per))[at]
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(lines[i].encode()) for i in at), "<i8").reshape(-1, 2)
+            new = np.zeros(len(at), bool)
+            for i, k in enumerate(names[:, 0].tolist()):
+                if k not in known:
+                    new[i] = True
+                    known.add(k)
+            if len(known) > REMEMBERED:
+                known.clear()
+            keys, bits = np.zeros((0, BANDS), np.int64), np.zeros(len(at), np.int64)
+            if new.any():
+                codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+                end = (np.cumsum(sizes + 1) - 1)[at[new]]
+                keys, bits[new] = _sign(codes, end - sizes[at[new]], end)
+            offsets = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(owner + a)),
+                    batch.column(1).take(pa.array(owner + a)),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(names[:, 0]),
+                    pa.array(names[:, 1]),
+                    pa.array([lines[i] if x else None for i, x in zip(at.tolist(), new.tolist(), strict=True)], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
+                    pa.array(bits),
+                ],
+                names=["doc_id", "row", "line_no", "k1", "k2", "line", "keys", "bits"],
+            )
 
 
 def _row() -> Column:
@@ -65,32 +129,23 @@ def _row() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines: doc_id, row (see ``_row``), line_no (from 0), line, and k1 and k2, 128 bits of hash that stand for the text."""
-    lines = docs.select("doc_id", _row().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumns({"k1": F.xxhash64("line"), "k2": _second("line")})
+    """All lines with a word, written: doc_id, row (see ``_row``), line_no (from 0), k1 and k2, 128 bits of hash that
+    stand for the text, line, keys, the hash of each band, and bits. The last three stand where a task meets the line
+    first; elsewhere line is null and keys are empty."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, row bigint, line_no int, k1 bigint, k2 bigint, line string, keys array<bigint>, bits bigint"
+    return materialize(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_cut, schema), "lines")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines with a word: doc_id, row, line_no (from 0), line, k1 and k2."""
-    return _lines(docs).filter(F.rlike("line", F.lit(_WORD)))
-
+def _shingles(line: Column) -> Column:
+    """The set of hashes of the line's shingles, which are cut from UTF-32, in which every character has four bytes."""
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines with a word: k1, keys, the hash of each band, and bits, four of one MinHash of each band.
+    def cut(coded: Column) -> Column:
+        last = F.greatest(F.length(coded) - (4 * WIDTH - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substring(coded, i, F.lit(4 * WIDTH))))
 
-    Lines are shuffled once, by their hashes, and signed behind the shuffle: a line is smaller than its MinHashes.
-    """
-    texts = lines.filter(F.rlike("line", F.lit(_WORD))).select("k1", "k2", "line").repartition("k1", "k2")
-    coded = texts.select("k1", "k2", F.encode("line", "UTF-32").alias("coded"))
-    placed = coded.select("k1", "k2", "coded", F.explode(_starts(F.col("coded"))).alias("i"))
-    hashed = placed.select("k1", "k2", _shingle(F.col("coded"), F.col("i")).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(_constant(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("k1", "k2").agg(*mins)
-    bands = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
-    bits = F.lit(0).cast("bigint")
-    for k in range(BANDS):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k * ROWS}").bitwiseAND(F.lit(15)), 4 * k))
-    return signed.select("k1", F.array(*bands).alias("keys"), bits.alias("bits"))
+    # A variable of the outer lambda holds the coded line, so that it's coded once and not for each shingle.
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
 
 def _agree(x: Column) -> Column:
@@ -111,7 +166,7 @@ def _if_few(table: DataFrame) -> DataFrame:
 
 def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """k1, node (the line's name among components) and line, of the lines in ``wanted`` (k1, each once)."""
-    texts = lines.select("k1", "k2", "line").join(_if_few(wanted), "k1", "left_semi")
+    texts = lines.filter("line is not null").select("k1", "k2", "line").join(_if_few(wanted), "k1", "left_semi")
     texts = texts.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), "line")
 
@@ -191,19 +246,25 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _components(lines: DataFrame) -> DataFrame:
-    """Components (node, root) of the lines that are like others; lines without a word are like none."""
-    signed = materialize(_signed(lines), "signatures")
-    keyed = signed.select("k1", "bits", F.explode("keys").alias("key"))
+    """Components (node, root) of the lines that are like others."""
+    keyed = lines.filter("line is not null").select("k1", "bits", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), F.bit_xor("bits").alias("x"))
-    buckets = materialize(buckets.filter((F.col("n") > 2) | (F.col("n") == 2) & _agree(F.col("x"))), "buckets")
-    members = materialize(keyed.join(_if_few(materialize(buckets.filter("n > 2").select("key", "n"), "several")), "key"), "members")
+    # A line that several tasks met is there several times.
+    buckets = materialize(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("x")))), "buckets")
+    several = _if_few(materialize(buckets.filter("n > 2").select("key"), "several"))
+    members = materialize(keyed.join(several, "key").distinct(), "members")
+    sizes = members.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"))
+    members = members.join(sizes, F.col("key") == F.col("of")).drop("of")
     small = members.filter(F.col("n") <= SMALL)
-    large = members.filter(F.col("n") > SMALL)
+    large = materialize(members.filter(F.col("n") > SMALL), "large")
     side = lambda c: small.select("key", F.col("k1").alias(c), F.col("bits").alias(f"x{c}"))
     pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & _agree(F.col("xa").bitwiseXOR(F.col("xb"))))
     pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
     texts = materialize(_texts(lines, materialize(wanted, "wanted")), "texts")
+    if large.isEmpty():
+        found = _verified(pairs, texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        return connected_components(found)
     crowd = materialize(large.select("k1").distinct(), "crowd")
     own = materialize(texts.join(_if_few(crowd), "k1", "left_semi"), "crowdtexts")
     ranked = materialize(_ranked(own), "ranked")
@@ -211,64 +272,70 @@ def _components(lines: DataFrame) -> DataFrame:
     named = own.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = large.select("key", "k1").join(named, "k1")
     found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    parts = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
-    for table in (signed, buckets):
-        release(table)
-    return parts
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
 
 
 def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, row, line_no, ...), and of each document that loses lines: __id, __row and
-    __gone, their numbers (from 0, by ``\\n``).
+    """All lines with a word (see ``_lines``), and of each document that loses lines: id, in_row and gone, their
+    numbers (from 0, by ``\\n``).
 
     Of the lines of a component, and of equal lines, that of the smallest doc_id, then of the least row and line_no
     is kept; null ids come last. Rows equal in doc_id and text are one document, others are documents of their own.
+    Equal lines are merged by partial sums before components are looked up, and very common ones by a broadcast.
     """
     lines = _lines(docs)
     name = F.split("node", ":")
     number = lambda i: F.conv(F.get(name, F.lit(i)), 16, -10).cast("bigint")
-    parts = _components(lines).select(number(0).alias("p1"), number(1).alias("p2"), F.xxhash64("root").alias("r1"), _second("root").alias("r2"))
-    spots = lines_of(docs).select("doc_id", "row", "line_no", "k1", "k2")
-    spots = spots.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left")
-    spots = materialize(spots.select("doc_id", "row", "line_no", F.coalesce("r1", "k1").alias("r1"), F.coalesce("r2", "k2").alias("r2")), "spots")
-    several = spots.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.count("*").alias("n")).filter("n > 1")
-    same = (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))
-    repeats = materialize(spots.join(several.select("f1", "f2"), same).drop("f1", "f2"), "repeats")
+    parts = _components(lines).select(number(0).alias("p1"), number(1).alias("p2"), "root")
     spot = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "line_no")
-    first = repeats.groupBy(F.col("r1").alias("f1"), F.col("r2").alias("f2")).agg(F.min(spot).alias("f"))
-    placed = repeats.join(first, same)
-    kept = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("row") == F.col("f.row")) & (F.col("line_no") == F.col("f.line_no"))
-    return spots, placed.filter(~kept).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
+    distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
+    distinct = distinct.join(parts, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")), "left").drop("p1", "p2")
+    distinct = materialize(distinct.filter("n > 1 or root is not null"), "distinct")
+    firsts = distinct.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("first").alias("least"))
+    named = distinct.join(firsts, F.col("root") == F.col("of"), "left")
+    named = materialize(named.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "n", F.coalesce("least", "first").alias("first")), "kept")
+    spots = lines.select("doc_id", "row", "line_no", "k1", "k2")
+    same = (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))
+    common = _if_few(materialize(named.filter(F.col("n") > COMMON), "common"))
+    placed = spots.join(common, same).unionAll(spots.join(common, same, "left_anti").join(named.filter(F.col("n") <= COMMON), same))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
+    gone = placed.filter(~kept).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("in_row"))
+    return lines, gone.agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """Of each document: doc_id, n_lines (lines with a word), n_dropped and dropped, the numbers (from 0, by
     ``\\n``) of the lines that go. Null and empty texts have no lines and empty lists; rows equal in doc_id
-    and text share a row, which counts the lines of all; rows of one doc_id with other texts have their own; other columns are dropped; empty input gives an empty result.
+    and text share a row, which counts the lines of all; rows of one doc_id with other texts have their own; other
+    columns are dropped, whatever their names; empty input gives an empty result.
     """
-    spots, gone = _dropped(docs)
-    counts = spots.groupBy(F.col("doc_id").alias("__of"), F.col("row").alias("__in")).agg(F.count("*").alias("__n"))
+    docs = docs.select("doc_id", "text")
+    lines, gone = _dropped(docs)
+    counts = lines.groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(F.count("*").alias("n"))
     found = docs.select("doc_id", _row().alias("row")).distinct()
-    found = found.join(counts, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("row") == F.col("__in")), "left")
-    found = found.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")), "left")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    n = F.coalesce("__n", F.lit(0)).cast("bigint")
+    found = found.join(counts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
+    found = found.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("in_row")), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
     return found.select("doc_id", n.alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"), gone.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that go, and without documents that have no line left.
 
-    Columns stay as they are; n_chars, where there is one, is set anew where lines go. Documents that
-    had no line with a word before are kept as they are.
+    Columns stay as they are, whatever their names; n_chars, where there is one, is set anew where lines go.
+    Documents that had no line with a word before are kept as they are. Empty input gives an empty result.
     """
     n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row"))
-    joined = docs.withColumn("__own", _row()).join(_dropped(docs)[1], same, "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = joined.filter(F.col("__gone").isNull() | (F.size("__gone") < n_lines)).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(n_chars))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").alias("own_id"), _row().alias("own_row"), "text", n_lines.alias("n_lines"))
+    gone = _dropped(docs.select("doc_id", "text"))[1]
+    rows = own.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_row") == F.col("in_row")), "left")
+    rows = rows.filter(F.col("gone").isNull() | (F.size("gone") < F.col("n_lines")))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    fields = {c: F.col("held").getField(c) for c in docs.columns}
+    fields["text"] = F.col("left")
+    if "n_chars" in fields:
+        n_chars = F.length("left").cast(docs.schema["n_chars"].dataType)
+        fields["n_chars"] = F.when(F.col("gone").isNull(), fields["n_chars"]).otherwise(n_chars)
+    return rows.select(*[x.alias(c) for c, x in fields.items()])
