@@ -41,7 +41,7 @@ BROADCAST = 1_000_000
 #: A line that occurs more often than this is looked up by a broadcast, as all its places would meet in one task.
 COMMON = 10_000
 #: Bytes of text that are signed at once, and lines that a task remembers so as to sign them once.
-CHUNK, REMEMBERED = 1 << 18, 1 << 20
+CHUNK, REMEMBERED = 1 << 17, 1 << 20
 _BLANK = " \t\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -53,29 +53,32 @@ def _factors() -> np.ndarray:
 
 def _sign(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each band of the lines ``codes[start:end]`` (code points), and bits, four of one MinHash of each band."""
-    padded = np.concatenate([codes, np.zeros(WIDTH, codes.dtype)])
     n = len(codes)
-    h = np.zeros(n + 1, np.uint64)
+    padded = np.concatenate([codes, np.zeros(WIDTH, np.uint32)])
+    h = np.zeros(n + 1, np.uint32)
     for k in range(WIDTH):
-        h *= np.uint64(0x9E3779B97F4A7C15)
+        h *= np.uint32(0x9E3779B1)
         h += padded[k : n + 1 + k]
     for s, e in zip(start[end - start < WIDTH].tolist(), end[end - start < WIDTH].tolist(), strict=True):
-        h[s] = xxhash.xxh3_64_intdigest(codes[s:e].tobytes())
+        h[s] = xxhash.xxh32_intdigest(codes[s:e].tobytes())
     counts = np.maximum(end - start - WIDTH + 1, 1)
     edges = np.zeros(n + 2, np.int8)
     edges[start] += 1
     np.subtract.at(edges, start + counts, 1)
-    hashes = (mix(h[np.cumsum(edges[: n + 1], dtype=np.int8) > 0]) >> np.uint64(32)).astype(np.uint32)
+    h = h[np.cumsum(edges[: n + 1], dtype=np.int8) > 0]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    keys, bits = np.empty((len(start), BANDS), np.uint64), np.zeros(len(start), np.uint64)
-    spare = np.empty_like(hashes)
+    least, spare = np.empty((BANDS * ROWS, len(start)), np.uint32), np.empty_like(h)
     for i, factor in enumerate(_factors()):
-        band, row = divmod(i, ROWS)
-        least = np.minimum.reduceat(np.multiply(hashes, factor, out=spare), starts).astype(np.uint64)
-        if not row:
-            keys[:, band] = band + 1
-            bits |= (mix(least * np.uint64(0x94D049BB133111EB)) & np.uint64(15)) << np.uint64(4 * band)
-        keys[:, band] = mix((keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15))
+        np.minimum.reduceat(np.multiply(h, factor, out=spare), starts, out=least[i])
+    least = least.reshape(BANDS, ROWS, -1).astype(np.uint64)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
+    for row in range(ROWS):
+        keys = mix((keys ^ least[:, row]) * np.uint64(0x9E3779B97F4A7C15))
+    four = (mix(least[:, 0] * np.uint64(0x94D049BB133111EB)) & np.uint64(15)) << (4 * np.arange(BANDS, dtype=np.uint64))[:, None]
+    keys, bits = np.ascontiguousarray(keys.T), np.bitwise_or.reduce(four, 0)
     return keys.view(np.int64), bits.view(np.int64)
 
 
@@ -171,20 +174,35 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), "line")
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of lines (a, b, na, nb, la, lb), the rows whose Jaccard likeness is ``THRESHOLD`` or more, without texts."""
+
+    def cut(line: str) -> set[str]:
+        return {line[i : i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1))}
+
+    for batch in batches:
+        left, right = batch.column(4).dictionary_encode(), batch.column(5).to_pylist()
+        sets: dict[int, set[str]] = {}
+        lines, kept = left.dictionary.to_pylist(), []
+        at = left.indices.to_pylist()
+        for i in sorted(range(len(at)), key=at.__getitem__):
+            if at[i] not in sets:
+                sets = {at[i]: cut(lines[at[i]])}
+            one, other = sets[at[i]], cut(right[i])
+            common = len(one & other)
+            if common >= THRESHOLD * (len(one) + len(other) - common):
+                kept.append(i)
+        yield batch.select([0, 1, 2, 3]).take(pa.array(sorted(kept), pa.int64()))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard likeness is ``THRESHOLD`` or more, with all columns and the nodes na and nb.
+    """The pairs (a, b) whose Jaccard likeness is ``THRESHOLD`` or more, with the nodes na and nb.
 
-    Lines are cut into shingles here, as their hashes take many times a line's space.
+    Lines are cut into shingles here, as these take many times a line's space.
     """
     side = lambda c: texts.select(F.col("k1").alias(c), F.col("node").alias(f"n{c}"), F.col("line").alias(f"l{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sets = F.array(F.struct(_shingles(F.col("la")).alias("a"), _shingles(F.col("lb")).alias("b")))
-
-    def alike(x: Column) -> Column:
-        common = F.size(F.array_intersect(x["a"], x["b"]))
-        return common >= THRESHOLD * (F.size(x["a"]) + F.size(x["b"]) - common)
-
-    return both.filter(F.exists(sets, alike)).drop("la", "lb")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "lb")
+    return both.mapInArrow(_alike, "a bigint, b bigint, na string, nb string")
 
 
 def _ranked(texts: DataFrame) -> DataFrame:
@@ -217,10 +235,12 @@ def _hub_links(members: DataFrame, texts: DataFrame, ranked: DataFrame) -> DataF
         x = F.aggregate("dfs", F.lit(0.0), lambda t, d: t + F.least(d, F.col("m")) / F.col("m"))
         near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "m", "n", x.alias("x"))
         hubs = near.groupBy("key", "m").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
-        tried = members.select("key", F.col("k1").alias("b")).join(hubs, "key")
-        found = materialize(_verified(tried, texts), "hubs")
+        hubs = materialize(hubs, "hubs")
+        tried = members.select("key", F.col("k1").alias("b")).join(hubs.select("key", "a"), "key")
+        found = materialize(_verified(tried.select("a", "b").distinct(), texts), "alike")
         links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-        left = crowded.join(found.select("key", F.col("b").alias("k1")), ["key", "k1"], "left_anti")
+        near = found.select(F.col("a").alias("hub"), F.col("b").alias("k1"))
+        left = crowded.join(hubs.select("key", F.col("a").alias("hub")), "key").join(near, ["hub", "k1"], "left_anti").select("key", "k1", "m")
         after = left.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m_"))
         useful = F.col("m") - F.col("m_") >= F.col("m") / 8
         rest = left.join(after, F.col("key") == F.col("key_")).filter(useful).select("key", "k1")
