@@ -6,8 +6,9 @@ component the earliest line stays. Shingles are the ``WIDTH`` characters from ea
 character of a line is in some; a shorter line is its own one shingle.
 
 A shingle is hashed once, to h; its hash by permutation i is h times an odd constant, and the least of these
-over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives its pairs whose MinHashes,
-one of each band, agree ``AGREE`` times or more, as short shingles meet in unlike lines too. In larger
+over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines gives its pairs of whose 32 bits, one
+of a MinHash each, ``AGREE`` or more agree, as short shingles meet in unlike lines too. The bits are the upper half of
+the number that stands for a line, so that they need no room of their own. In larger
 ones, lines are compared with a hub, the line most like the others; lines linked to one hub need no link
 among themselves. Other pairs that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which
 loses none. So no group of alike lines is compared pair by pair.
@@ -32,8 +33,8 @@ from .kernels import chunks, mix, texts_of
 WIDTH, THRESHOLD = 5, 0.8
 #: At a likeness of 0.8, fifteen bands of five miss 0.3 % of pairs; at 0.9, two in a million.
 BANDS, ROWS = 15, 5
-#: Of one MinHash of each band, four bits each, so many agree; of pairs at 0.8, 6 in 100,000 have fewer.
-AGREE = 6
+#: Of 32 bits, one of a MinHash each, so many agree; of pairs at 0.8, 8 in 10,000 have fewer.
+AGREE = 23
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
 #: Rows of one or two numbers that are broadcast, at most: 16 MB.
@@ -52,7 +53,7 @@ def _factors() -> np.ndarray:
 
 
 def _sign(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each band of the lines ``codes[start:end]`` (code points), and bits, four of one MinHash of each band."""
+    """The hash of each band of the lines ``codes[start:end]`` (code points), and 32 bits, one of a MinHash each."""
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(WIDTH, np.uint32)])
     h = np.zeros(n + 1, np.uint32)
@@ -77,14 +78,14 @@ def _sign(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
     for row in range(ROWS):
         keys = mix((keys ^ least[:, row]) * np.uint64(0x9E3779B97F4A7C15))
-    four = (mix(least[:, 0] * np.uint64(0x94D049BB133111EB)) & np.uint64(15)) << (4 * np.arange(BANDS, dtype=np.uint64))[:, None]
-    keys, bits = np.ascontiguousarray(keys.T), np.bitwise_or.reduce(four, 0)
-    return keys.view(np.int64), bits.view(np.int64)
+    single = mix(least[:, :3].transpose(1, 0, 2).reshape(3 * BANDS, -1)[:32] * np.uint64(0x94D049BB133111EB)) & np.uint64(1)
+    bits = np.bitwise_or.reduce(single << np.arange(32, dtype=np.uint64)[:, None], 0)
+    return np.ascontiguousarray(keys.T).view(np.int64), bits
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines with a word of documents (doc_id, row, text), as ``_lines`` has them."""
-    known: set[int] = set()
+    known: dict[int, int] = {}  # k1 by k2
     for batch in batches:
         texts = texts_of(batch)
         for a, b in chunks(texts, CHUNK):
@@ -97,32 +98,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             owner = np.repeat(np.arange(b - a), per)[at]
             number = (np.arange(len(lines)) - np.repeat(np.cumsum(per) - per, per))[at]
-            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(lines[i].encode()) for i in at), "<i8").reshape(-1, 2)
-            new = np.zeros(len(at), bool)
-            for i, k in enumerate(names[:, 0].tolist()):
-                if k not in known:
-                    new[i] = True
-                    known.add(k)
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(lines[i].encode()) for i in at), "<u8").reshape(-1, 2)
+            k2 = names[:, 0].view("<i8").tolist()
             if len(known) > REMEMBERED:
                 known.clear()
-            keys, bits = np.zeros((0, BANDS), np.int64), np.zeros(len(at), np.int64)
-            if new.any():
+            first: dict[int, int] = {}
+            for i, k in enumerate(k2):
+                if k not in known:
+                    first.setdefault(k, i)
+            new = np.zeros(len(at), bool)
+            new[list(first.values())] = True
+            keys = np.zeros((0, BANDS), np.int64)
+            if first:
                 codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
                 end = (np.cumsum(sizes + 1) - 1)[at[new]]
-                keys, bits[new] = _sign(codes, end - sizes[at[new]], end)
+                keys, bits = _sign(codes, end - sizes[at[new]], end)
+                known.update(zip(first, ((bits << np.uint64(32)) | (names[new, 1] >> np.uint64(32))).view(np.int64).tolist(), strict=True))
             offsets = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner + a)),
                     batch.column(1).take(pa.array(owner + a)),
                     pa.array(number.astype(np.int32)),
-                    pa.array(names[:, 0]),
-                    pa.array(names[:, 1]),
+                    pa.array([known[k] for k in k2], pa.int64()),
+                    pa.array(k2, pa.int64()),
                     pa.array([lines[i] if x else None for i, x in zip(at.tolist(), new.tolist(), strict=True)], pa.string()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
-                    pa.array(bits),
                 ],
-                names=["doc_id", "row", "line_no", "k1", "k2", "line", "keys", "bits"],
+                names=["doc_id", "row", "line_no", "k1", "k2", "line", "keys"],
             )
 
 
@@ -132,11 +135,11 @@ def _row() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines with a word, written: doc_id, row (see ``_row``), line_no (from 0), k1 and k2, 128 bits of hash that
-    stand for the text, line, keys, the hash of each band, and bits. The last three stand where a task meets the line
-    first; elsewhere line is null and keys are empty."""
+    """All lines with a word, written: doc_id, row (see ``_row``), line_no (from 0), k1 and k2, which stand for the
+    text by 32 bits of MinHashes and 96 of a hash, line, and keys, the hash of each band. The last two stand where a task
+    meets the line first; elsewhere line is null and keys are empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row bigint, line_no int, k1 bigint, k2 bigint, line string, keys array<bigint>, bits bigint"
+    schema = f"doc_id {kind}, row bigint, line_no int, k1 bigint, k2 bigint, line string, keys array<bigint>"
     return materialize(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_cut, schema), "lines")
 
 
@@ -151,10 +154,9 @@ def _shingles(line: Column) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
 
-def _agree(x: Column) -> Column:
-    """Whether ``AGREE`` or more of the ``BANDS`` groups of four bits are 0 in ``x``, two lines' bits by exclusive or."""
-    other = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-    return F.bit_count(other.bitwiseAND(F.lit(sum(1 << 4 * k for k in range(BANDS))))) <= BANDS - AGREE
+def _agree(a: Column, b: Column) -> Column:
+    """Whether ``AGREE`` or more of the 32 bits of MinHashes of two lines agree."""
+    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= 32 - AGREE
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -267,18 +269,18 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def _components(lines: DataFrame) -> DataFrame:
     """Components (node, root) of the lines that are like others."""
-    keyed = lines.filter("line is not null").select("k1", "bits", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), F.bit_xor("bits").alias("x"))
+    keyed = lines.filter("line is not null").select("k1", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count("*").alias("n"))
     # A line that several tasks met is there several times.
-    buckets = materialize(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("x")))), "buckets")
+    buckets = materialize(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("a"), F.col("b")))), "buckets")
     several = _if_few(materialize(buckets.filter("n > 2").select("key"), "several"))
     members = materialize(keyed.join(several, "key").distinct(), "members")
     sizes = members.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"))
     members = members.join(sizes, F.col("key") == F.col("of")).drop("of")
     small = members.filter(F.col("n") <= SMALL)
     large = materialize(members.filter(F.col("n") > SMALL), "large")
-    side = lambda c: small.select("key", F.col("k1").alias(c), F.col("bits").alias(f"x{c}"))
-    pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & _agree(F.col("xa").bitwiseXOR(F.col("xb"))))
+    pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & _agree(F.col("a"), F.col("b")))
     pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
     texts = materialize(_texts(lines, materialize(wanted, "wanted")), "texts")
