@@ -143,17 +143,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_cut, schema), "lines")
 
 
-def _shingles(line: Column) -> Column:
-    """The set of hashes of the line's shingles, which are cut from UTF-32, in which every character has four bytes."""
-
-    def cut(coded: Column) -> Column:
-        last = F.greatest(F.length(coded) - (4 * WIDTH - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substring(coded, i, F.lit(4 * WIDTH))))
-
-    # A variable of the outer lambda holds the coded line, so that it's coded once and not for each shingle.
-    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
-
-
 def _agree(a: Column, b: Column) -> Column:
     """Whether ``AGREE`` or more of the 32 bits of MinHashes of two lines agree."""
     return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= 32 - AGREE
@@ -207,24 +196,56 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_alike, "a bigint, b bigint, na string, nb string")
 
 
+def _tokens(line: str) -> np.ndarray:
+    """Hashes of the line's shingles, each once, in order."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < WIDTH:
+        return np.array([xxhash.xxh3_64_intdigest(codes.tobytes())], np.uint64).view(np.int64)
+    h = np.zeros(len(codes) - WIDTH + 1, np.uint64)
+    for k in range(WIDTH):
+        h = mix((h + codes[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(h.view(np.int64))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = np.unique(np.concatenate([_tokens(x) for x in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["token", "df"])
+
+
 def _ranked(texts: DataFrame) -> DataFrame:
-    """Of each line of ``texts``: k1, n (its shingles), dfs (how many of these lines have each) and rare, its
-    rarest floor(n / 5) + 1 shingles, the rarest first."""
-    sets = materialize(texts.select("k1", _shingles(F.col("line")).alias("s")), "shingles")
-    tokens = sets.select("k1", F.size("s").alias("n"), F.explode("s").alias("token"))
-    spread = tokens.groupBy(F.col("token").alias("token_")).agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    by_line = tokens.join(spread, F.col("token") == F.col("token_")).groupBy("k1", "n").agg(order.alias("all"))
-    most = F.floor(F.col("n") * (1 - THRESHOLD) + 1e-9).cast("int") + 1
-    return by_line.select("k1", "n", F.col("all.df").alias("dfs"), F.slice("all.token", F.lit(1), most).alias("rare"))
-
-
-def _hub_links(members: DataFrame, texts: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Of each line of ``texts``: k1, n (its shingles) and rare, its rarest floor(n / 5) + 1 shingles, the rarest first.
+
+    All lines order shingles alike: those that under a thousandth of the lines have first, by hash, then the others,
+    by how many lines have them. So the others, which are broadcast, are a thousand times a line's shingles at most.
+    """
+    counts = texts.select("line").mapInArrow(_frequencies, "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df"))
+    often = counts.filter(F.col("df") > max(2, texts.count() // 1000)).toArrow()
+    order = np.argsort(often.column("token").to_numpy())
+    shared = texts.sparkSession.sparkContext.broadcast((often.column("token").to_numpy()[order], often.column("df").to_numpy()[order]))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frequency = shared.value
+        for batch in batches:
+            sizes, rare = [], []
+            for line in batch.column(1).to_pylist():
+                tokens = _tokens(line)
+                at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
+                df = np.where(known[at] == tokens, frequency[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
+                sizes.append(len(tokens))
+                rare.append(tokens[np.argsort(df, kind="stable")[: int(len(tokens) * (1 - THRESHOLD) + 1e-9) + 1]])
+            arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "n", "rare"])
+
+    return texts.select("k1", "line").mapInArrow(rank, "k1 bigint, n int, rare array<bigint>")
+
+
+def _hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of large buckets' lines (key, k1) to the lines most like all others.
 
-    In rounds: of a bucket's lines that no hub was linked to, the one whose shingles most lines have is the next hub,
-    and is compared with all the bucket's lines. A bucket leaves when its hub finds under an eighth of those that
-    are left, or ``SMALL`` are left.
+    In rounds: of a bucket's lines that no hub was linked to, the one that shares the most buckets with others is the
+    next hub, and is compared with all the bucket's lines. A bucket leaves when its hub finds under an eighth of those
+    that are left, or ``SMALL`` are left.
     """
     rest = members.select("key", "k1")
     links = rest.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
@@ -233,10 +254,8 @@ def _hub_links(members: DataFrame, texts: DataFrame, ranked: DataFrame) -> DataF
         crowded = materialize(rest.join(counts.filter(F.col("m") > SMALL), F.col("key") == F.col("key_")).drop("key_"), "crowded")
         if crowded.isEmpty():
             return links
-        # x: shingles shared with another line on average, roughly; over n and the other's n less x it is a likeness.
-        x = F.aggregate("dfs", F.lit(0.0), lambda t, d: t + F.least(d, F.col("m")) / F.col("m"))
-        near = crowded.join(ranked.select("k1", "n", "dfs"), "k1").select("key", "k1", "m", "n", x.alias("x"))
-        hubs = near.groupBy("key", "m").agg(F.max_by("k1", F.struct(F.col("x") / (2 * F.col("n") - F.col("x")), "k1")).alias("a"))
+        met = crowded.groupBy(F.col("k1").alias("met")).agg(F.sum("m").alias("x"))
+        hubs = crowded.join(met, F.col("k1") == F.col("met")).groupBy("key", "m").agg(F.max_by("k1", F.struct("x", "k1")).alias("a"))
         hubs = materialize(hubs, "hubs")
         tried = members.select("key", F.col("k1").alias("b")).join(hubs.select("key", "a"), "key")
         found = materialize(_verified(tried.select("a", "b").distinct(), texts), "alike")
@@ -290,7 +309,7 @@ def _components(lines: DataFrame) -> DataFrame:
     crowd = materialize(large.select("k1").distinct(), "crowd")
     own = materialize(texts.join(_if_few(crowd), "k1", "left_semi"), "crowdtexts")
     ranked = materialize(_ranked(own), "ranked")
-    parts = connected_components(_hub_links(large, own, ranked))
+    parts = connected_components(_hub_links(large, own))
     named = own.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = large.select("key", "k1").join(named, "k1")
     found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
