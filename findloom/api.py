@@ -89,13 +89,13 @@ class Engine:
         shapes = manifests.option_shapes(nodes).head()
         if shapes["options"]:
             if shapes["other"]:
-                raise ManifestError("manifest mixes options with non-option entries")
+                raise ManifestError("the manifest holds both options and other entries")
             tables.write_options(manifests.option_records(nodes), output)
             return {"kind": OPTIONS, "options": shapes["options"], "output": output}
         outputs = walk.existing(manifests.manifest_outputs(self.spark, manifest, shape))
         n = tables.count(outputs)
         if not n:
-            raise ManifestError("manifest did not contain options or existing package output paths")
+            raise ManifestError("the manifest holds no option and no output folder that exists")
         merged = merge_owners(walk.package_files(outputs), ["path"], "package")
         plain = merged.select(
             "path", F.lit("r").alias("kind"), F.lit(0).cast(SIZE).alias("size"), F.lit(False).alias("executable"), F.lit("").alias("target"), "packages"

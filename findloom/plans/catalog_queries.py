@@ -224,7 +224,7 @@ def name_version_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("full_name", pname.alias("pname"), version.alias("version"))
 
 
-_PATHS = [("/nix/store/abc-hello-1",), ("plain",), ("/a/-lead",), ("/a/b-c/",)]
+_PATHS = [("/store/abc-hello-1",), ("plain",), ("/a/-lead",), ("/a/b-c/",)]
 
 
 @query(r"""

@@ -71,7 +71,7 @@ def manifest_outputs(spark: SparkSession, path: str, shape: str = "strict") -> D
     root = read_json(spark, path)
     form = root.select(F.schema_of_variant("v").alias("s")).head()["s"]
     if not form.startswith(("ARRAY", "OBJECT")):
-        raise ManifestError("manifest must be a JSON array or object")
+        raise ManifestError("a manifest is a JSON list or object")
     nodes = entries(root)
     if form.startswith("ARRAY"):
         nodes = nodes.filter(is_object(F.col("node")))
