@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findloom.errors import EngineIOError
+
 from findloom.functions.text import attr_label, transitive_label
 
 #: Rounds after which what has been visited is written as one table.
@@ -18,6 +20,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise EngineIOError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="findloom-"))
     return df.checkpoint()
 
