@@ -23,11 +23,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, as in local tests, the context's checkpoint folder, or a temporary one that becomes it.
+    Where that is unset, the context's checkpoint folder; in local tests a temporary one that becomes it.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="findloom-")
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -117,34 +117,30 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it's taken, range-sorted by training position.
 
     Returns the columns of ``docs``; a source's last document may be cut to the words that its target
-    still takes, with ``n_chars`` set anew if there is such a column. Documents without words are left out,
-    as they add none.
+    still takes, with ``n_chars`` set anew if there is such a column; other columns stay, whatever their names.
+    Documents without words are left out, as they add none. An empty table gives an empty result.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text", "source").cast("string"))
-    plan = plan_mix(docs.select(key.alias("doc_id"), "text", "source")).groupBy("doc_id")
+    plan = plan_mix(docs.select(key.alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("planned"))
     # Rows that are repeated share what is taken of them.
     plan = plan.agg(
-        F.max("size").alias("__size"),
-        F.floor(F.sum("taken") / F.count("*")).alias("__taken"),
-        *[F.min(c).alias(f"__{c.strip('_')}") for c in ("slope", "source_size", "__before", "__words")],
-    ).filter("__taken > 0")
-    joined = docs.withColumn("__doc", key).join(plan.withColumnRenamed("doc_id", "__doc"), "__doc")
-    copies = joined.withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1))
-    )
-    offset = F.col("__copy") * F.col("__source_size") + F.col("__before") + F.col("__size") / 2
-    copies = copies.withColumns(
-        {
-            "__left": F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size")),
-            "__position": _time(F.least(F.lit(1.0), offset / F.col("__words")), F.col("__slope")),
-        }
-    )
+        F.max("size").alias("size"),
+        F.floor(F.sum("taken") / F.count("*")).alias("taken"),
+        *[F.min(c).alias(c) for c in ("slope", "source_size", "__before", "__words")],
+    ).filter("taken > 0")
+    # Columns of the documents travel in a struct, so that no name of theirs meets one of these.
+    held = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), "text")
+    joined = held.join(plan, F.col("key") == F.col("planned"))
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    left = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    copies = copies.withColumns({"left": left, "position": copy_position(F.col("copy"))})
     # The first words up to the cut, with the white space between them as it is.
     space = r"[\x20\x09-\x0D]"
     words = F.split(F.regexp_replace("text", f"^{space}+", ""), rf"(?<={space})(?=[^\x20\x09-\x0D])")
-    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("__left").cast("int")), ""), f"{space}+$", "")
-    copies = copies.withColumn("text", F.when(F.col("__left") < F.col("__size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    spread = copies.repartitionByRange("__position", "__doc").sortWithinPartitions("__position", "__doc")
-    return spread.select(*docs.columns)
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("left").cast("int")), ""), f"{space}+$", "")
+    copies = copies.withColumn("text", F.when(F.col("left") < F.col("size"), cut).otherwise(F.col("text")))
+    spread = copies.repartitionByRange("position", "key").sortWithinPartitions("position", "key")
+    fields = {c: F.col("held").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return spread.select(*[fields[c].alias(c) for c in docs.columns])

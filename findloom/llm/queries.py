@@ -18,7 +18,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).select(
-        "doc_id", "size", "source", "source_size", "target", "taken", "position"
+        "doc_id", "size", "source_size", "target", "taken", "source", "position"
     )
 
 

@@ -56,19 +56,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Add ``slot`` and ``shard`` to each row; equal keys share a shard, nulls go to slot 0's.
 
-    Columns of those names are replaced. Rows stay in place: no shuffle; a table of ``slots`` entries
+    Columns of those names are replaced, unless one is the key: then the new one's name gets ``_`` behind it. Other
+    columns stay, whatever their names. Rows stay in place: no shuffle; a table of ``slots`` entries
     is broadcast. Empty input gives an empty result.
     """
     owner = lookup_table(shards, slots)
-    table = df.sparkSession.createDataFrame(
-        [(i, shards[x]) for i, x in enumerate(owner)], "`__slot` int, `__shard` string"
-    )
-    base = df.drop("slot", "shard").withColumn("__key", slot_of(F.col(key), slots))
-    return (
-        base.join(F.broadcast(table), F.col("__key") == F.col("__slot"), "left")
-        .withColumnsRenamed({"__key": "slot", "__shard": "shard"})
-        .drop("__slot")
-    )
+    table = df.sparkSession.createDataFrame([(i, shards[x]) for i, x in enumerate(owner)], "at int, owner string")
+    columns = [c for c in df.columns if c == key or c not in ("slot", "shard")]
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("held"), slot_of(F.col(f"`{key}`"), slots).alias("slot"))
+    name = lambda c: c + "_" if c == key else c
+    placed = held.join(F.broadcast(table), F.col("slot") == F.col("at"), "left")
+    return placed.select(*[F.col("held").getField(c).alias(c) for c in columns], F.col("slot").alias(name("slot")), F.col("owner").alias(name("shard")))
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, salts: int = 16) -> None:

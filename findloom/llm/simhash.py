@@ -125,11 +125,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component, the row of the smallest doc_id.
 
     Of rows that share that doc_id, the one with the least hash stays. Rows with a null doc_id stay.
-    Rows of one id are merged by partial minima, so any number of them is safe.
+    Rows of one id are merged by partial minima, so any number of them is safe. Columns stay as they are, whatever
+    their names; an empty table gives an empty result.
     """
     known = docs.filter("doc_id is not null")
-    first = near_duplicates(known).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = known.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+    first = near_duplicates(known.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
-    return once.select("__row.*").unionAll(docs.filter("doc_id is null"))
+    held = known.select(F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("hash"), F.struct(*columns).alias("held"))
+    kept = held.join(first, F.col("id") == F.col("first"), "left_semi")
+    once = kept.groupBy("id").agg(F.min_by("held", "hash").alias("held"))
+    return once.select("held.*").unionAll(docs.filter("doc_id is null"))

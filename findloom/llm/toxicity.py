@@ -114,6 +114,13 @@ class Table:
             self.values[at[placed]] = values[left[placed]]
             left, at = left[~placed], (at[~placed] + 1) & (size - 1)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+        """A table from another's arrays."""
+        found = cls.__new__(cls)
+        found.keys, found.values = keys, values
+        return found
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys.astype(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
 
@@ -141,6 +148,14 @@ class Model:
     def __init__(self, seen: Table, history: Table, weight: float = 1.0, base: float = 0.0) -> None:
         self.seen, self.history, self.weight, self.base = seen, history, weight, base
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What is broadcast: plain arrays, as executors may lack this package."""
+        return self.seen.keys, self.seen.values, self.history.keys, self.history.values
+
+    @classmethod
+    def of(cls, arrays: tuple[np.ndarray, ...], weight: float = 1.0, base: float = 0.0) -> Model:
+        return cls(Table.of(*arrays[:2]), Table.of(*arrays[2:]), weight, base)
+
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """Mean evidence of the words of each text, 0 without words."""
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
@@ -227,10 +242,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     counted = materialize(counted.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "expressions")
     model = Model(*_tables(counted))
     release(counted)
-    shared = docs.sparkSession.sparkContext.broadcast((model.seen, model.history))
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Model(*shared.value)
+        ready = Model.of(shared.value)
         for batch in batches:
             texts = texts_of(batch)
             found = [ready.evidence(texts[a:b]) for a, b in chunks(texts)]
@@ -250,10 +265,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows stay; other columns are dropped; an empty table gives an empty result.
     """
     model = learn(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model.seen, model.history, model.weight, model.base))
+    shared = docs.sparkSession.sparkContext.broadcast((model.arrays(), model.weight, model.base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Model(*shared.value)
+        ready = Model.of(*shared.value)
         for batch in batches:
             texts = texts_of(batch)
             found = np.concatenate([np.zeros(0), *(ready.scores(texts[a:b]) for a, b in chunks(texts))])

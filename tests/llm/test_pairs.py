@@ -406,3 +406,16 @@ def test_likeness_of_all_anchors(spark):
 def test_line_dedup_stated_recall():
     missed = lambda likeness: (1 - likeness**linededup.ROWS) ** linededup.BANDS
     assert missed(0.8) < 0.003 and missed(0.9) < 2e-6
+
+
+def test_clashing_names(spark):
+    """Columns may have any names that the operators use for their own."""
+    names = "id key row held hash first text_ planned copy left position size taken slope source_size __before __words __id __first __size __doc __key slot shard at owner gone n_lines own_id own_row in_row".split()
+    rows = [(i, words(random.Random(i), 30), "s", *range(len(names))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    assert sorted(map(tuple, linededup.dedup_lines(docs).collect())) == sorted(rows)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted(rows)
+    assert sorted(map(tuple, mixing.mix_documents(docs).collect())) == sorted(rows)
+    placed = sharding.assign_shards(docs, "doc_id")
+    assert placed.count() == 4 and placed.columns == [c for c in docs.columns if c not in ("slot", "shard")] + ["slot", "shard"]
+    assert sharding.assign_shards(docs.select("slot", "key"), "slot").columns == ["slot", "key", "slot_", "shard"]
