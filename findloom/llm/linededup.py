@@ -13,8 +13,8 @@ ones, lines are compared with a hub, the line most like the others; lines linked
 among themselves. Other pairs that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which
 loses none. So no group of alike lines is compared pair by pair.
 
-Lines are cut and signed in numpy, batch by batch: with SQL functions alone, shingles at every position cost
-three times the check tool's budget (README, "Check tool"). All joins and groups are DataFrames.
+Lines are cut and signed in numpy, batch by batch: with SQL functions alone, signatures of
+shingles at every position took more than the check tool's whole budget (README, "Check tool"). All joins and groups are DataFrames.
 """
 
 from __future__ import annotations
