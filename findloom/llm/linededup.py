@@ -19,7 +19,7 @@ shingles at every position took more than the check tool's whole budget (README,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 from .kernels import chunks, mix, texts_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -240,7 +240,7 @@ def _ranked(texts: DataFrame) -> DataFrame:
     return texts.select("k1", "line").mapInArrow(rank, "k1 bigint, n int, rare array<bigint>")
 
 
-def _hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _hub_links(members: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Links (a, b) of large buckets' lines (key, k1) to the lines most like all others.
 
     In rounds: of a bucket's lines that no hub was linked to, the one that shares the most buckets with others is the
@@ -249,16 +249,21 @@ def _hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rest = members.select("key", "k1")
     links = rest.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
+    done: list[DataFrame] = []
     while True:
         counts = rest.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("m"))
         crowded = materialize(rest.join(counts.filter(F.col("m") > SMALL), F.col("key") == F.col("key_")).drop("key_"), "crowded")
+        for table in done:  # of the round before
+            release(table)
         if crowded.isEmpty():
+            release(crowded)
             return links
         met = crowded.groupBy(F.col("k1").alias("met")).agg(F.sum("m").alias("x"))
         hubs = crowded.join(met, F.col("k1") == F.col("met")).groupBy("key", "m").agg(F.max_by("k1", F.struct("x", "k1")).alias("a"))
         hubs = materialize(hubs, "hubs")
+        done = [crowded, hubs]
         tried = members.select("key", F.col("k1").alias("b")).join(hubs.select("key", "a"), "key")
-        found = materialize(_verified(tried.select("a", "b").distinct(), texts), "alike")
+        found = keep(_verified(tried.select("a", "b").distinct(), texts), "alike")
         links = links.unionAll(found.filter("a <> b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
         near = found.select(F.col("a").alias("hub"), F.col("b").alias("k1"))
         left = crowded.join(hubs.select("key", F.col("a").alias("hub")), "key").join(near, ["hub", "k1"], "left_anti").select("key", "k1", "m")
@@ -267,7 +272,7 @@ def _hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         rest = left.join(after, F.col("key") == F.col("key_")).filter(useful).select("key", "k1")
 
 
-def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
+def _across(members: DataFrame, ranked: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs of different labels, in buckets (key, k1, label), that can reach ``THRESHOLD``.
 
     Of two lines that are alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
@@ -278,7 +283,7 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
     rare = members.join(ranked, "k1").select("key", "k1", "label", "n", F.posexplode("rare").alias("p", "token"))
     by = rare.groupBy("key", "token", "label").agg(F.count("*").alias("c"))
     by = by.groupBy("key", "token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    shared = materialize(rare.join(by, ["key", "token"]), "shared")
+    shared = keep(rare.join(by, ["key", "token"]), "shared")
     side = lambda c: [F.col("k1").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")]
     left, right = shared.filter("label <> main").select("key", "token", *side("a")), shared.select("key", "token", *side("b"))
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shingles in common, at most
@@ -287,33 +292,46 @@ def _across(members: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _components(lines: DataFrame) -> DataFrame:
-    """Components (node, root) of the lines that are like others."""
+    """Components (node, root) of the lines that are like others. Tables written on the way are removed as soon as nothing reads them."""
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(materialize(df, tag))
+        return made[-1]
+
+    def joined(links: DataFrame) -> DataFrame:
+        found = connected_components(links)
+        for table in made:
+            release(table)
+        return found
+
     keyed = lines.filter("line is not null").select("k1", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count("*").alias("n"))
     # A line that several tasks met is there several times.
-    buckets = materialize(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("a"), F.col("b")))), "buckets")
-    several = _if_few(materialize(buckets.filter("n > 2").select("key"), "several"))
-    members = materialize(keyed.join(several, "key").distinct(), "members")
+    buckets = keep(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("a"), F.col("b")))), "buckets")
+    several = _if_few(keep(buckets.filter("n > 2").select("key"), "several"))
+    members = keep(keyed.join(several, "key").distinct(), "members")
     sizes = members.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"))
     members = members.join(sizes, F.col("key") == F.col("of")).drop("of")
     small = members.filter(F.col("n") <= SMALL)
-    large = materialize(members.filter(F.col("n") > SMALL), "large")
+    large = keep(members.filter(F.col("n") > SMALL), "large")
     pairs = small.select("key", F.col("k1").alias("a")).join(small.select("key", F.col("k1").alias("b")), "key")
     pairs = pairs.filter((F.col("a") < F.col("b")) & _agree(F.col("a"), F.col("b")))
-    pairs = materialize(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
+    pairs = keep(_ordered(pairs.select("a", "b").unionAll(buckets.filter("n = 2").select("a", "b"))), "pairs")
+    release(buckets)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct()
-    texts = materialize(_texts(lines, materialize(wanted, "wanted")), "texts")
+    texts = keep(_texts(lines, keep(wanted, "wanted")), "texts")
     if large.isEmpty():
         found = _verified(pairs, texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        return connected_components(found)
-    crowd = materialize(large.select("k1").distinct(), "crowd")
-    own = materialize(texts.join(_if_few(crowd), "k1", "left_semi"), "crowdtexts")
-    ranked = materialize(_ranked(own), "ranked")
-    parts = connected_components(_hub_links(large, own))
+        return joined(found)
+    crowd = keep(large.select("k1").distinct(), "crowd")
+    own = keep(texts.join(_if_few(crowd), "k1", "left_semi"), "crowdtexts")
+    ranked = keep(_ranked(own), "ranked")
+    parts = connected_components(_hub_links(large, own, keep))
     named = own.select("k1", "node").join(parts, "node", "left").select("k1", F.xxhash64(F.coalesce("root", "node")).alias("label"))
     labelled = large.select("key", "k1").join(named, "k1")
-    found = _verified(pairs.unionAll(_across(labelled, ranked)).distinct(), texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    return connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
+    found = _verified(pairs.unionAll(_across(labelled, ranked, keep)).distinct(), texts).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return joined(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
 
 
 def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -335,6 +353,7 @@ def _dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = distinct.filter("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("first").alias("least"))
     named = distinct.join(firsts, F.col("root") == F.col("of"), "left")
     named = materialize(named.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "n", F.coalesce("least", "first").alias("first")), "kept")
+    release(distinct)
     spots = lines.select("doc_id", "row", "line_no", "k1", "k2")
     same = (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))
     common = _if_few(materialize(named.filter(F.col("n") > COMMON), "common"))
