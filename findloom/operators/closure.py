@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findloom.errors import EngineIOError
-
 from findloom.functions.text import attr_label, transitive_label
+from findloom.sources.shared import shared_dir
 
 #: Rounds after which what has been visited is written as one table.
 FOLD = 8
@@ -17,12 +14,9 @@ FOLD = 8
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder: survives lost executors and cuts the plan."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise EngineIOError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="findloom-"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from findloom.plans import catalog_queries
+from findloom.plans import catalog_queries, library_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -27,6 +27,7 @@ def test_twin(spark, name):
 
 
 def test_contract(spark):
+    assert catalog_queries.QUERIES["written_index"] is library_queries.written_index
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["p_name", "owners"]
 
