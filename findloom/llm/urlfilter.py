@@ -35,6 +35,8 @@ BINS = {
 }
 #: Suffixes are hashed to so many rows of statistics.
 SUFFIXES = 4096
+#: A labelled URL's suffix rate is that of the labels in the other folds, so that it doesn't hold its own.
+FOLDS = 5
 ROUNDS, RATE, PENALTY = 40, 0.3, 1.0
 
 
@@ -65,11 +67,12 @@ def _suffix() -> Column:
 
 
 def _features() -> dict[str, Column]:
-    """Features of the URL alone, JVM-side; entropy is that of its characters."""
+    """Features of the URL alone, JVM-side; entropy is that of all its characters, in bits."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
-    counts = [F.length(url) - F.length(F.replace(F.translate(url, UPPER, LOWER), F.lit(c), F.lit(""))) for c in LOWER + "0123456789/.-_?=&%:#"]
-    entropy = sum((F.when(n > 0, -(n / size) * F.log2(n / size)).otherwise(0.0) for n in counts), F.lit(0.0))
+    share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size
+    own = F.array_distinct(F.split(url, ""))
+    entropy = F.aggregate(F.transform(own, lambda c: F.when(c == "", 0.0).otherwise(-share(c) * F.log2(share(c)))), F.lit(0.0), lambda x, y: x + y)
     return {
         "length": F.length(url),
         "depth": F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))),
@@ -148,22 +151,27 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 
     The verdict is the longest fitting rule's, or block where the trees' probability is 1/2 or more.
     Null URLs have empty host and path and are judged like any other. Repeated rows stay; other columns
-    are dropped; empty input gives an empty result. Two broadcasts, both bounded: ``SUFFIXES`` rows of
+    are dropped; empty input gives an empty result. Two broadcasts, both bounded: ``SUFFIXES`` * (``FOLDS`` + 1) rows of
     statistics, and the trees, of 8 leaves each, inside the expression. What reaches the driver is
     ``max_cells()`` counts at most.
     """
     rule, verdict = match(rules)
-    found = with_parts(pages.select("page_id", "url")).withColumns({"rule": rule, "__rule_verdict": verdict, "__suffix": _suffix()})
+    fold = F.when(verdict.isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS))).otherwise(-1).cast("int")
+    found = with_parts(pages.select("page_id", "url")).withColumns({"rule": rule, "__rule_verdict": verdict, "__suffix": _suffix(), "__fold": fold})
     blocked = (F.col("__rule_verdict") == "block").cast("int")
-    stats = found.groupBy("__suffix").agg(
-        ((F.sum(blocked) + 1) / (F.count("__rule_verdict") + 2)).alias("__rate"), F.count("*").alias("__n")
-    )
-    stats = {r["__suffix"]: (r["__rate"] if r["__rate"] is not None else 0.5, r["__n"]) for r in stats.collect()}  # SUFFIXES rows at most
-    total = max(1, sum(n for _, n in stats.values()))
-    table = pages.sparkSession.createDataFrame(
-        [(k, float(r), n / total) for k, (r, n) in stats.items()], "`__key` int, `suffix_rate` double, `suffix_share` double"
-    )
-    featured = found.withColumns(_features()).join(F.broadcast(table), F.col("__suffix") == F.col("__key"), "left")
+    stats = found.groupBy("__suffix", "__fold").agg(F.coalesce(F.sum(blocked), F.lit(0)).alias("y"), F.count("__rule_verdict").alias("n"), F.count("*").alias("rows"))
+    stats = stats.collect()  # SUFFIXES * (FOLDS + 1) rows at most
+    total, sums = max(1, sum(r["rows"] for r in stats)), {}
+    for r in stats:
+        y, n, rows = sums.get(r["__suffix"], (0, 0, 0))
+        sums[r["__suffix"]] = (y + r["y"], n + r["n"], rows + r["rows"])
+    table = []
+    for r in stats:  # of those without a label, y and n are 0: their rate is that of all labels
+        y, n, rows = sums[r["__suffix"]]
+        table.append((r["__suffix"], r["__fold"], (y - r["y"] + 1) / (n - r["n"] + 2), rows / total))
+    table = pages.sparkSession.createDataFrame(table, "`__key` int, `__key_fold` int, `suffix_rate` double, `suffix_share` double")
+    same = (F.col("__suffix") == F.col("__key")) & (F.col("__fold") == F.col("__key_fold"))
+    featured = found.withColumns(_features()).join(F.broadcast(table), same, "left")
     binned = featured.select(
         "page_id", "host", "path", "rule", "__rule_verdict", *[_bin(F.col(k), v).alias(f"__bin_{k}") for k, v in BINS.items()]
     )

@@ -1,6 +1,7 @@
 """Operators on single texts, URLs and pages."""
 
 import collections
+import math
 import random
 import re
 
@@ -128,6 +129,14 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_entropy(spark):
+    urls = ["", None, "http://a", "HTTP://x.Org/~a|b|c", "http://例え.jp/😀😀é?x=1&y", "aaaa", "a$b.c*d\\e^f" * 300]
+    df = urlfilter.with_parts(spark.createDataFrame([(u,) for u in urls], "url string"))
+    for row in df.select("url", urlfilter._features()["entropy"].alias("e")).collect():
+        text = row["url"] or ""
+        assert abs(row["e"] + sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))) < 1e-9
+
+
 def test_url_trees(spark):
     """Trees learn a lexical difference, on rows that no rule fits too."""
     rng = random.Random(3)
