@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark removes a query's shuffle files as soon as it has ended, instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions in this block leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    This cuts the lineage: the rows survive the loss of any executor and are computed once. ``release``
-    removes the files; ``release_all`` those of all operators, once no result is needed any more.
+    This cuts the lineage: the rows survive the loss of any executor and are computed once. The shuffle files
+    that led to them go at once. ``release`` removes the files; ``release_all`` those of all operators, once no
+    result is needed any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/findloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._findloom_path = path
     return out
@@ -78,7 +98,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         more = links.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
         chained = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
-        if more.isEmpty() and chained.isEmpty():
+        with shuffles_removed(links.sparkSession):
+            settled = more.isEmpty() and chained.isEmpty()
+        if settled:
             break
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

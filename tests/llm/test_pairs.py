@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -367,6 +368,21 @@ def test_line_dedup_long_words(spark):
     assert got == {i: [0] if i == 18 else [] for i in range(19)}
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    """Shuffle files go with the query that wrote them, not when the driver collects its garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data")}
+    before = files()
+    table = common.materialize(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert table.count() == 700 and not left
+    common.release(table)
+
+
 def test_line_dedup_rows(spark):
     """Rows with null ids, or of one id with other texts, are documents of their own."""
     rows = [(None, "first unique line\nshared by these rows"), (None, "another one of its own\nshared by these rows"), (None, "no line in common")]
