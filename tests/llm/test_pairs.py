@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -383,6 +384,17 @@ def test_materialize_leaves_no_shuffle_files(spark):
     common.release(table)
 
 
+def test_line_dedup_releases_texts(spark):
+    """The table of all lines' texts and bands goes as soon as the candidates are known."""
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    tables = lambda: {x.name for x in folder.glob("findloom/lines-*")}
+    common.materialize(spark.range(1), "lines-there")
+    before = tables()
+    report = linededup.dedup_report(documents(spark, ["one line of text here", "another text altogether", "one line of text here"]))
+    assert before and tables() == before
+    assert {r["doc_id"]: r["dropped"] for r in report.collect()} == {0: [], 1: [], 2: [0]}
+
+
 def test_line_dedup_rows(spark):
     """Rows with null ids, or of one id with other texts, are documents of their own."""
     rows = [(None, "first unique line\nshared by these rows"), (None, "another one of its own\nshared by these rows"), (None, "no line in common")]
