@@ -10,9 +10,9 @@ over a line is the line's i-th MinHash. A band's bucket of up to ``SMALL`` lines
 of a MinHash each, ``AGREE`` or more agree, as short shingles meet in unlike lines too. The bits are the upper half of
 the number that stands for a line, so that they need no room of their own. In larger
 ones, lines are compared with a hub, the line most like the others; lines linked to one hub need no link
-among themselves. Other pairs of a bucket are taken each in buckets of up to ``DIRECT`` lines; in larger ones those
-that can reach ``THRESHOLD`` are found by the rarest shingles of each line, which loses none. So no group of alike
-lines is compared pair by pair. Before texts are compared, two bits of 64 MinHashes must tell few of them apart (``APART``).
+among themselves. Other pairs of a bucket are taken each in buckets of up to ``DIRECT`` lines, where parities of their
+shingles leave room for ``THRESHOLD`` (``_reach``); in larger ones those that can reach it are found by the rarest
+shingles of each line. Neither loses a pair. So no group of alike lines is compared pair by pair. Before texts are compared, two bits of 64 MinHashes must tell few of them apart (``APART``).
 
 Bands are dealt ``PASS`` at a time, and texts are fetched of lines that have a candidate only: what lies on disk at
 once is the lines and a third of the bands.
@@ -44,12 +44,16 @@ AGREE = 23
 APART = 23
 #: Lines of a bucket that is compared pair by pair.
 SMALL = 16
-#: Lines of a bucket whose lines of different labels are compared pair by pair, by the bits of their MinHashes.
-DIRECT = 1024
+#: Lines of a bucket whose lines of different labels are compared pair by pair, by the bits of their MinHashes and parities.
+DIRECT = 4096
+#: Numbers of 64 bits, each the parity of the shingles that a hash deals to it.
+PARITIES = 16
 #: Bands that are dealt at once.
 PASS = 5
 #: Rows of one or two numbers that are broadcast, at most: 16 MB.
 BROADCAST = 1_000_000
+#: Documents that lose lines, whose line numbers are broadcast, at most: 10 to 20 MB. Beyond, texts are shuffled for them.
+GONE = 250_000
 #: A line that occurs more often than this is looked up by a broadcast, as all its places would meet in one task.
 COMMON = 10_000
 #: Bytes of text that are signed at once, and lines that a task remembers so as to sign them once.
@@ -189,25 +193,70 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("k1", F.concat_ws(":", F.hex("k1"), F.hex("k2")).alias("node"), "line")
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of lines (a, b, na, nb, la, lb), the rows whose Jaccard likeness is ``THRESHOLD`` or more, without texts."""
+def _shingles(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line, each once, in order, as 64-bit numbers."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    whole = np.zeros(max(0, len(codes) - WIDTH + 1), np.uint64)
+    for k, factor in enumerate(mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)):
+        whole += codes[k : len(whole) + k] * factor
+    found, end = [], 0
+    for line in lines:
+        start, end = end, end + len(line)
+        if end - start < WIDTH:
+            found.append(np.array([xxhash.xxh3_64_intdigest(line.encode())], np.uint64))
+            continue
+        own = np.sort(whole[start : end - WIDTH + 1])
+        fresh = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        found.append(own[fresh])
+    return found
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """Of each line of ``texts``: k1, n (its shingles) and x0, x1, ..., ``PARITIES`` numbers of parities.
+
+    A shingle that only one of two lines has turns one bit, so they differ in as many shingles as bits, at least.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            sizes, odd = np.zeros(len(lines), np.int32), np.zeros((len(lines), PARITIES), np.int64)
+            for i, line in enumerate(lines):
+                own = _shingles([line])[0]
+                sizes[i] = len(own)
+                bits = np.bincount((mix(own) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+                odd[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            arrays = [batch.column(0), pa.array(sizes), *[pa.array(odd[:, i]) for i in range(PARITIES)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "n", *names])
 
-    def cut(line: str) -> set[str]:
-        return {line[i : i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1))}
+    names = [f"x{i}" for i in range(PARITIES)]
+    return texts.select("k1", "line").mapInArrow(count, "k1 bigint, n int, " + ", ".join(f"{x} bigint" for x in names))
 
+
+def _reach(a: str, b: str) -> Column:
+    """Whether the parities of ``a`` and ``b`` leave room for a likeness of ``THRESHOLD``; loses no pair that reaches it."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{i}{a}").bitwiseXOR(F.col(f"x{i}{b}"))) for i in range(PARITIES)])
+    return differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col(f"n{a}") + F.col(f"n{b}")) + 1e-6
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of lines (a, b, na, nb, la, lb), the rows whose Jaccard likeness is ``THRESHOLD`` or more, without texts."""
     for batch in batches:
-        left, right = batch.column(4).dictionary_encode(), batch.column(5).to_pylist()
-        sets: dict[int, set[str]] = {}
-        lines, kept = left.dictionary.to_pylist(), []
-        at = left.indices.to_pylist()
-        for i in sorted(range(len(at)), key=at.__getitem__):
-            if at[i] not in sets:
-                sets = {at[i]: cut(lines[at[i]])}
-            one, other = sets[at[i]], cut(right[i])
-            common = len(one & other)
-            if common >= THRESHOLD * (len(one) + len(other) - common):
-                kept.append(i)
-        yield batch.select([0, 1, 2, 3]).take(pa.array(sorted(kept), pa.int64()))
+        left, right, kept = texts_of(batch, "la"), texts_of(batch, "lb"), []
+        for first, last in chunks([x + y for x, y in zip(left, right, strict=True)]):
+            at = {x: i for i, x in enumerate(dict.fromkeys(left[first:last] + right[first:last]))}
+            sets = _shingles([x.decode("utf-8", "replace") for x in at])
+            for i in range(first, last):
+                one, other = sets[at[left[i]]], sets[at[right[i]]]
+                n, m = len(one), len(other)
+                if min(n, m) >= THRESHOLD * max(n, m):
+                    both = np.concatenate((one, other))
+                    both.sort()
+                    common = np.count_nonzero(both[1:] == both[:-1])
+                    if common >= THRESHOLD * (n + m - common):
+                        kept.append(i)
+        yield batch.select([0, 1, 2, 3]).take(pa.array(kept, pa.int64()))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -302,7 +351,8 @@ def _across(members: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str
     """Pairs of different labels, in buckets (key, k1, s1, s2, label), that can reach ``THRESHOLD``.
 
     Where a bucket's lines mostly have one label, only those of the others are compared with all. A bucket of up to
-    ``DIRECT`` lines gives its pairs that are near by their marks, a pair only in the first bucket that both are in. In larger ones, pairs need a shingle in common: of two
+    ``DIRECT`` lines gives its pairs that are near by their marks and in reach by their parities, a pair only in the first
+    bucket that both are in. In larger ones, pairs need a shingle in common: of two
     lines that are alike, one of the rarest floor(n / 5) + 1 of the n shingles of either is one of the
     other's, in any order of shingles. The first such shingle that two lines share, at positions p and q, is
     followed by at most the lesser of n - p and m - q more; if all those together are too few, the pair is left
@@ -312,12 +362,14 @@ def _across(members: DataFrame, texts: DataFrame, keep: Callable[[DataFrame, str
     by = by.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("parts"))
     mixed = keep(members.join(by.filter("parts > 1").drop("parts"), "key"), "mixed")
     few = mixed.filter(F.col("m") <= DIRECT)
+    odd = keep(_parities(texts.join(few.select("k1").distinct(), "k1", "left_semi")), "parities")
     held = few.groupBy(F.col("k1").alias("of")).agg(F.collect_set("key").alias("held"))  # a key a band at most
-    few = few.join(held, F.col("k1") == F.col("of")).withColumn("before", F.filter("held", lambda x: x < F.col("key")))
-    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("k1", ""), ("label", "l"), ("s1", "s1"), ("s2", "s2"), ("before", "before"))]
+    few = few.join(held, F.col("k1") == F.col("of")).withColumn("before", F.filter("held", lambda x: x < F.col("key"))).join(odd, "k1")
+    names = [("k1", ""), ("label", "l"), *[(x, x) for x in ("s1", "s2", "before", "n", *[f"x{i}" for i in range(PARITIES)])]]
+    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in names]
     left, right = few.filter("label <> main").select("key", "main", *side("a")), few.select("key", *side("b"))
     once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & ~F.arrays_overlap("beforea", "beforeb")
-    pairs = _ordered(left.join(right, "key").filter(once & _near("a", "b")).select("a", "b"))
+    pairs = _ordered(left.join(right, "key").filter(_near("a", "b") & _reach("a", "b") & once).select("a", "b"))
     many = mixed.filter(F.col("m") > DIRECT).select("key", "k1", "label")
     if many.isEmpty():
         return pairs
@@ -450,6 +502,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines = F.coalesce(F.regexp_count("text", F.lit(rf"{_WORD}[^\n]*")), F.lit(0))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").alias("own_id"), _row().alias("own_row"), "text", n_lines.alias("n_lines"))
     gone = _dropped(docs.select("doc_id", "text"))[1]
+    gone = F.broadcast(gone) if gone.count() <= GONE else gone
     rows = own.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_row") == F.col("in_row")), "left")
     rows = rows.filter(F.col("gone").isNull() | (F.size("gone") < F.col("n_lines")))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))

@@ -447,3 +447,59 @@ def test_clashing_names(spark):
     placed = sharding.assign_shards(docs, "doc_id")
     assert placed.count() == 4 and placed.columns == [c for c in docs.columns if c not in ("slot", "shard")] + ["slot", "shard"]
     assert sharding.assign_shards(docs.select("slot", "key"), "slot").columns == ["slot", "key", "slot_", "shard"]
+
+
+def test_line_dedup_shuffles_no_texts(spark):
+    """The numbers of lines that go are broadcast, so that documents stay where they are."""
+    texts = ["kept line of text\nanother line that stays", "kept line of text\nsomething else altogether", "no line in common"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = linededup.dedup_lines(documents(spark, texts))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {0: texts[0], 1: "something else altogether", 2: texts[2]}
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_line_dedup_near_copies_below_threshold(spark, monkeypatch):
+    """Of many lines that are alike, but not alike enough, few pairs are compared, and none that are enough is lost."""
+    rng = random.Random(16)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(540))
+
+    def changed(line, n):
+        at = set(rng.sample(range(len(line)), n))
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if i in at else x for i, x in enumerate(line))
+
+    texts = [changed(base, 10) for _ in range(100)]
+    texts += [changed(x, 5) for x in texts[:10]]
+    compared, verified = [], linededup._verified
+
+    def counted(pairs, lines):
+        compared.append(pairs.count())
+        return verified(pairs, lines)
+
+    monkeypatch.setattr(linededup, "_verified", counted)
+    got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
+    assert got == dropped_by_force(texts)
+    assert sum(map(len, got.values())) >= 10 and sum(compared) < 1500
+
+
+def test_line_dedup_parities_lose_no_pair(spark):
+    """Pairs at or over the threshold are in reach by parities, and are found alike; the others aren't found alike."""
+    rng = random.Random(17)
+    texts = []
+    for n in (3, 5, 12, 60, 300, 1500, 5000) * 6:
+        line = "".join(rng.choice("abcdefgé𝔞 ") for _ in range(n))
+        texts.append((line, edited(rng, line, rng.randint(0, 3)) + "x" * rng.randint(0, n // 6)))
+        at = rng.randrange(n)
+        texts.append((line, line[:at] + "X" * (n // 12 + 1) + line[at + n // 12 + 1 :]))
+    likeness = [likeness_by_force(a, b) for a, b in texts]
+    lines = spark.createDataFrame([(i, x) for i, pair in enumerate(texts) for x in [pair]], "k1 long, pair struct<a string, b string>")
+    odd = lambda c: (lambda d: d.select(*[F.col(x).alias(x if x == "k1" else f"{x}{c}") for x in d.columns]))(linededup._parities(lines.select("k1", F.col(f"pair.{c}").alias("line"))))
+    reach = {r["k1"] for r in odd("a").join(odd("b"), "k1").filter(linededup._reach("a", "b")).collect()}
+    pairs = lines.select(F.col("k1").alias("a"), F.col("k1").alias("b"), F.lit("").alias("na"), F.lit("").alias("nb"), F.col("pair.a").alias("la"), F.col("pair.b").alias("lb"))
+    alike = {r["a"] for r in pairs.mapInArrow(linededup._alike, "a bigint, b bigint, na string, nb string").collect()}
+    assert alike == {i for i, x in enumerate(likeness) if x >= 0.8}
+    assert alike <= reach and 20 < len(alike) < len(texts) - 10
