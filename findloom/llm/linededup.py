@@ -58,6 +58,8 @@ GONE = 250_000
 COMMON = 10_000
 #: Bytes of text that are signed at once, and lines that a task remembers so as to sign them once.
 CHUNK, REMEMBERED = 1 << 17, 1 << 20
+#: Columns with the hash of each band.
+_KEYS = [f"key{i}" for i in range(BANDS)]
 _BLANK = " \t\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -133,9 +135,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = (np.cumsum(sizes + 1) - 1)[at[new]]
                 keys, bits, marks = _sign(codes, end - sizes[at[new]], end)
                 known.update(zip(first, ((bits << np.uint64(32)) | (names[new, 1] >> np.uint64(32))).view(np.int64).tolist(), strict=True))
-            offsets = np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)
-            spread = np.zeros((2, len(at)), np.int64)
-            spread[:, new] = marks
+            spread = np.zeros((2 + BANDS, len(at)), np.int64)
+            spread[:, new] = np.concatenate([marks, keys.T])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner + a)),
@@ -144,10 +145,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([known[k] for k in k2], pa.int64()),
                     pa.array(k2, pa.int64()),
                     pa.array([lines[i] if x else None for i, x in zip(at.tolist(), new.tolist(), strict=True)], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
                     *[pa.array(x, mask=~new) for x in spread],
                 ],
-                names=["doc_id", "row", "line_no", "k1", "k2", "line", "keys", "s1", "s2"],
+                names=["doc_id", "row", "line_no", "k1", "k2", "line", "s1", "s2", *_KEYS],
             )
 
 
@@ -158,10 +158,10 @@ def _row() -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """All lines with a word, written: doc_id, row (see ``_row``), line_no (from 0), k1 and k2, which stand for the
-    text by 32 bits of MinHashes and 96 of a hash, line, keys, the hash of each band, and s1 and s2, bits of 64 MinHashes.
-    The last four stand where a task meets the line first; elsewhere they are null and keys are empty."""
+    text by 32 bits of MinHashes and 96 of a hash, line, s1 and s2, bits of 64 MinHashes, and key0, key1, ..., the hash of
+    each band. From line on, they stand where a task meets the line first and are null elsewhere."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row bigint, line_no int, k1 bigint, k2 bigint, line string, keys array<bigint>, s1 bigint, s2 bigint"
+    schema = f"doc_id {kind}, row bigint, line_no int, k1 bigint, k2 bigint, line string, s1 bigint, s2 bigint, " + ", ".join(f"{x} bigint" for x in _KEYS)
     return materialize(docs.select("doc_id", _row().alias("row"), "text").mapInArrow(_cut, schema), "lines")
 
 
@@ -390,7 +390,8 @@ def _candidates(lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -
     buckets, ``PASS`` bands after the other."""
     pairs, large = [], []
     for first in range(0, BANDS, PASS):
-        keyed = lines.filter("line is not null").select("k1", F.explode(F.slice("keys", first + 1, PASS)).alias("key"))
+        # Not filtered by line, as texts would be read for that.
+        keyed = lines.filter(F.col(_KEYS[first]).isNotNull()).select("k1", F.explode(F.array(*_KEYS[first : first + PASS])).alias("key"))
         buckets = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.count("*").alias("n"))
         # A line that several tasks met is there several times.
         buckets = materialize(buckets.filter((F.col("a") < F.col("b")) & ((F.col("n") > 2) | _agree(F.col("a"), F.col("b")))), "buckets")
@@ -428,7 +429,7 @@ def _components(lines: DataFrame) -> DataFrame:
     pairs, large = _candidates(lines, keep)
     pairs = keep(pairs, "pairs")
     met = keep(pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionAll(large.select("k1")).distinct(), "met")
-    marks = lines.filter("line is not null").select("k1", "s1", "s2").join(_if_few(met), "k1", "left_semi")
+    marks = lines.filter("s1 is not null").select("k1", "s1", "s2").join(_if_few(met), "k1", "left_semi")
     marks = keep(marks.groupBy("k1").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2")), "marks")
     mark = lambda c: marks.select(F.col("k1").alias(c), F.col("s1").alias(f"s1{c}"), F.col("s2").alias(f"s2{c}"))
     pairs = keep(pairs.join(mark("a"), "a").join(mark("b"), "b").filter(_near("a", "b")).select("a", "b"), "near")

@@ -503,3 +503,19 @@ def test_line_dedup_parities_lose_no_pair(spark):
     alike = {r["a"] for r in pairs.mapInArrow(linededup._alike, "a bigint, b bigint, na string, nb string").collect()}
     assert alike == {i for i, x in enumerate(likeness) if x >= 0.8}
     assert alike <= reach and 20 < len(alike) < len(texts) - 10
+
+
+def test_line_dedup_deals_bands_without_texts(spark, monkeypatch):
+    """Buckets and marks are made without reading lines' texts."""
+    plans, written = {}, linededup.materialize
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(linededup, "materialize", seen)
+    texts = ["one line of text here", "one line of text here!", "another text altogether"]
+    got = {r["doc_id"]: r["dropped"] for r in linededup.dedup_report(documents(spark, texts)).collect()}
+    assert got == {0: [], 1: [0], 2: []}
+    for tag in ("buckets", "members", "marks"):
+        assert "FileScan" in plans[tag] and not re.search(r"\bline#", plans[tag])
