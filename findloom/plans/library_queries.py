@@ -150,14 +150,15 @@ def reference_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing of each part: hash and value."""
+    """A listing of each part: hash and value. Parts are dealt out first, as one task may read the whole file."""
     value = F.concat(
         F.lit('{"root": {"type": "directory", "entries": {"bin": {"type": "directory", "entries": {"'), "p_name",
         F.lit('": {"type": "regular", "size": '), F.col("p_size").cast("string"), F.lit(', "executable": '), (F.col("p_size") % 2 == 1).cast("string"),
         F.lit('}, "odd": {"type": "socket"}}}, "doc": {"type": "symlink", "target": "'), "p_brand", F.lit('"}}}}'),
     )
     value = F.when(F.col("p_partkey") % 11 == 0, "no JSON").otherwise(value)
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("hash"), value.alias("value"))
+    parts = table(spark, sf_dir, "part").repartition("p_partkey")
+    return parts.select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("hash"), value.alias("value"))
 
 
 _LISTED_SQL = """

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from findloom.errors import EngineIOError
 from findloom.functions.text import BLANK, basename, hash_from_path, reference_hashes, split_name_version
 from findloom.schemas import LISTING, MAX_SIZE
 
+#: Entries of listings that leave Python at once.
+ROWS = 10_000
 _ITEM = "_attrPath string, _system string, output array<struct<_name string, _path string>>"
 
 
@@ -63,9 +65,9 @@ def read_infos(spark: SparkSession, folder: str) -> DataFrame:
     return parse_infos(_texts(spark, folder, ".narinfo"))
 
 
-def flatten(node: object) -> list[tuple[str, str, int, bool, str]]:
+def flatten(node: object) -> Iterator[tuple[str, str, int, bool, str]]:
     """path, kind, size, executable and target of a listing's root node and all below it, in the tree's order."""
-    found, stack = [], [("/", node)]
+    stack = [("/", node)]
     while stack:
         path, node = stack.pop()
         if not isinstance(node, dict):
@@ -74,16 +76,35 @@ def flatten(node: object) -> list[tuple[str, str, int, bool, str]]:
         if kind == "regular":
             size = node.get("size")
             size = size if isinstance(size, int) and not isinstance(size, bool) and 0 <= size <= MAX_SIZE else 0
-            found.append((path, "r", size, node.get("executable") is True, ""))
+            yield path, "r", size, node.get("executable") is True, ""
         elif kind == "symlink":
             target = node.get("target")
-            found.append((path, "s", 0, False, target if isinstance(target, str) else ""))
+            yield path, "s", 0, False, target if isinstance(target, str) else ""
         elif kind == "directory":
-            found.append((path, "d", 0, False, ""))
+            yield path, "d", 0, False, ""
             below = node.get("entries")
             if isinstance(below, dict):
                 stack += [(("" if path == "/" else path) + "/" + name, x) for name, x in reversed(below.items())]
-    return found
+
+
+def listing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of batches of listing texts (hash, value), ``ROWS`` to a batch however long or short the listings are."""
+    names, kinds = LISTING.names, [pa.string(), pa.string(), pa.string(), pa.decimal128(20, 0), pa.bool_(), pa.string()]
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds, strict=True)], names=names)
+    rows = []
+    for batch in batches:
+        for ident, text in zip(batch.column("hash").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            try:
+                root = json.loads(text)
+            except (ValueError, TypeError, RecursionError):
+                continue
+            for entry in flatten(root.get("root") if isinstance(root, dict) else None):
+                rows.append((ident, *entry))
+                if len(rows) == ROWS:
+                    yield packed(rows)
+                    rows = []
+    if rows:
+        yield packed(rows)
 
 
 def parse_listings(texts: DataFrame) -> DataFrame:
@@ -91,21 +112,7 @@ def parse_listings(texts: DataFrame) -> DataFrame:
 
     A text that isn't JSON, or has no root, lists nothing. One pass over each listing, however deep its tree.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from decimal import Decimal
-
-        for batch in batches:
-            for ident, text in zip(batch["hash"], batch["value"], strict=True):
-                try:
-                    root = json.loads(text)
-                except (ValueError, TypeError, RecursionError):
-                    continue
-                rows = flatten(root.get("root")) if isinstance(root, dict) else []
-                if rows:
-                    yield pd.DataFrame([(ident, p, k, Decimal(s), x, t) for p, k, s, x, t in rows], columns=LISTING.names)
-
-    return texts.select("hash", "value").mapInPandas(run, LISTING)
+    return texts.select("hash", "value").mapInArrow(listing_batches, LISTING)
 
 
 def read_listings(spark: SparkSession, folder: str) -> DataFrame:

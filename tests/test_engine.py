@@ -3,6 +3,7 @@ import os
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from findloom.__main__ import parser, run
 from findloom.errors import EngineIOError, InvalidDatabaseError, ManifestError, UsageError
 from findloom.operators.closure import closure
 from findloom.operators.index import assign_blocks, postings, search_index
+from findloom.plans import library_queries
 from findloom.schemas import FILE
 from findloom.sources import crawl, http, manifests
 from findloom.streaming.listings import merged, stream_listings
@@ -157,6 +159,24 @@ def test_listing_rules(spark, tmp_path):
         crawl.read_listings(spark, cache)
 
 
+def test_listing_batches():
+    text = json.dumps({"root": {"type": "directory", "entries": {"f": {"type": "regular", "size": crawl.MAX_SIZE}}}})
+    long = json.dumps({"root": {"type": "directory", "entries": {str(i): {"type": "symlink", "target": "t"} for i in range(crawl.ROWS)}}})
+    texts = [text] * crawl.ROWS + [None, "no JSON", "[]", '{"root": 1}', long]
+    batches = [pa.record_batch({"hash": [str(i) for i in range(len(texts))], "value": texts})]
+    found = list(crawl.listing_batches(iter(batches)))
+    assert [len(x) for x in found] == [crawl.ROWS] * 3 + [1]  # not one batch for each listing
+    rows = [tuple(r.values()) for x in found for r in x.to_pylist()]
+    assert rows[1] == ("0", "/f", "r", Decimal(crawl.MAX_SIZE), False, "") and rows[-1] == (str(len(texts) - 1), f"/{crawl.ROWS - 1}", "s", 0, False, "t")
+
+
+def test_listings_dealt_out(spark, tmp_path):
+    parts = spark.range(0, 200_000, 1, 1).select(F.col("id").alias("p_partkey"), F.sha2(F.col("id").cast("string"), 256).alias("p_name"), F.lit(1).alias("p_size"), F.lit("b").alias("p_brand"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    tasks = library_queries.listing_rows(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < 2 * min(t["count"] for t in tasks)
+
+
 def test_streaming(spark, tmp_path):
     cache, _ = crawled(tmp_path)
     labels = spark.createDataFrame([("h1", "one"), ("h2", "two"), ("h6", "six")], "hash string, label string")
