@@ -51,10 +51,11 @@ def labelled_entries(outputs: DataFrame, infos: DataFrame, listings: DataFrame,
     """
     labels = seed_labels(outputs)
     if follow_refs:
+        infos = checkpointed(infos.select("hash", "store_path", "references"))  # parsed once, not in every round
         edges = infos.select(F.col("hash").alias("src"), F.explode("references").alias("dst"))
         nodes = closure(labels.select(F.col("hash").alias("node")), edges).select(F.col("node").alias("hash"))
         paths = infos.groupBy("hash").agg(F.max("store_path").alias("store_path"))
-        named = nodes.join(labels, "hash", "left").join(paths, "hash", "left")
+        named = nodes.join(labels.hint("merge"), "hash", "left").join(paths.hint("merge"), "hash", "left")
         labels = named.select("hash", F.coalesce("label", transitive_label(F.col("store_path"), F.col("hash"))).alias("label"))
     files = listings.filter("kind <> 'd'").join(labels, "hash")
     return files.select("path", "kind", "size", "executable", "target", F.array("label").alias("packages"))

@@ -149,16 +149,20 @@ def reference_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hash", "store_path", "nar_url", F.array_join("references", ",").alias("refs"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt out to tasks, as one task may read the whole file."""
+    return table(spark, sf_dir, "part").repartition("p_partkey")
+
+
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing of each part: hash and value. Parts are dealt out first, as one task may read the whole file."""
+    """A listing of each part: hash and value."""
     value = F.concat(
         F.lit('{"root": {"type": "directory", "entries": {"bin": {"type": "directory", "entries": {"'), "p_name",
         F.lit('": {"type": "regular", "size": '), F.col("p_size").cast("string"), F.lit(', "executable": '), (F.col("p_size") % 2 == 1).cast("string"),
         F.lit('}, "odd": {"type": "socket"}}}, "doc": {"type": "symlink", "target": "'), "p_brand", F.lit('"}}}}'),
     )
     value = F.when(F.col("p_partkey") % 11 == 0, "no JSON").otherwise(value)
-    parts = table(spark, sf_dir, "part").repartition("p_partkey")
-    return parts.select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("hash"), value.alias("value"))
+    return _dealt(spark, sf_dir).select(F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("hash"), value.alias("value"))
 
 
 _LISTED_SQL = """
@@ -185,7 +189,7 @@ def _entries(spark: SparkSession, sf_dir: str, follow: bool) -> DataFrame:
     goal = F.concat(F.lit("/store/h"), (F.col("p_partkey") - last + last % 4 + 1).cast("string"), F.lit("-next"))
     refs = F.when(last.between(1, 4), F.concat(goal, F.lit(" "), ident)).otherwise("")
     store = F.when(last == 3, "").otherwise(F.concat(F.lit("/store/"), ident, F.lit("-"), "p_brand"))
-    infos = crawl.parse_infos(parts.select(ident.alias("hash"), F.concat(F.lit("StorePath: "), store, F.lit("\nReferences: "), refs, F.lit("\n")).alias("value")))
+    infos = crawl.parse_infos(_dealt(spark, sf_dir).select(ident.alias("hash"), F.concat(F.lit("StorePath: "), store, F.lit("\nReferences: "), refs, F.lit("\n")).alias("value")))
     found = labelled_entries(later.unionByName(seeds), infos, crawl.parse_listings(_listings(spark, sf_dir)), follow)
     return found.withColumns({"size": F.col("size").cast("bigint"), "packages": F.array_join("packages", ",")})
 

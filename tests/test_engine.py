@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from findloom import api
 from findloom.__main__ import parser, run
 from findloom.errors import EngineIOError, InvalidDatabaseError, ManifestError, UsageError
-from findloom.operators.closure import closure
+from findloom.operators.closure import closure, labelled_entries
 from findloom.operators.index import assign_blocks, postings, search_index
 from findloom.plans import library_queries
-from findloom.schemas import FILE
+from findloom.schemas import FILE, LISTING
 from findloom.sources import crawl, http, manifests
 from findloom.streaming.listings import merged, stream_listings
 
@@ -239,3 +239,29 @@ def test_closure_cycles(spark):
     got = {r["node"]: r["depth"] for r in closure(spark.createDataFrame([("a",), ("a",), (None,)], "node string"), edges).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
     assert closure(edges.filter(F.lit(False)).select(F.col("src").alias("node")), edges).count() == 0
+
+
+def crawl_tables(spark, seen="/dev/null"):
+    """Seed outputs, metadata and listings of a chain h0 to h9; each parsed piece of metadata leaves a line in a file."""
+
+    def noted(batches):
+        for batch in batches:
+            with open(seen, "a") as file:
+                file.write("x\n" * batch.num_rows)
+            yield batch
+
+    outputs = spark.createDataFrame([("a", "out", "h0", 1, 1), ("b", "man", "h0", 2, 0)], "attr string, output string, hash string, run int, ordinal int")
+    infos = spark.createDataFrame([(f"h{i}", f"/store/h{i}-n{i}", [f"h{i + 1}"]) for i in range(10)], "hash string, store_path string, references array<string>")
+    listings = spark.createDataFrame([(f"h{i}", "/f", "r", Decimal(i), False, "") for i in range(10)], LISTING)
+    return outputs, infos.mapInArrow(noted, infos.schema), listings
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metadata_parsed_once(spark, tmp_path):
+    found = labelled_entries(*crawl_tables(spark, f"{tmp_path}/seen"), follow_refs=True)
+    assert sorted((int(r["size"]), r["packages"]) for r in found.collect()) == [(0, ["a"]), *((i, [f"n{i}"]) for i in range(1, 10))]
+    with open(f"{tmp_path}/seen") as file:
+        assert len(file.readlines()) <= 20  # at most twice each, however many rounds there are
