@@ -57,5 +57,5 @@ def labelled_entries(outputs: DataFrame, infos: DataFrame, listings: DataFrame,
         paths = infos.groupBy("hash").agg(F.max("store_path").alias("store_path"))
         named = nodes.join(labels.hint("merge"), "hash", "left").join(paths.hint("merge"), "hash", "left")
         labels = named.select("hash", F.coalesce("label", transitive_label(F.col("store_path"), F.col("hash"))).alias("label"))
-    files = listings.filter("kind <> 'd'").join(labels, "hash")
+    files = listings.filter("kind <> 'd'").join(labels.hint("merge"), "hash")  # labels grow with the catalog: they don't go through the driver
     return files.select("path", "kind", "size", "executable", "target", F.array("label").alias("packages"))

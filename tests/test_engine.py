@@ -265,3 +265,9 @@ def test_metadata_parsed_once(spark, tmp_path):
     assert sorted((int(r["size"]), r["packages"]) for r in found.collect()) == [(0, ["a"]), *((i, [f"n{i}"]) for i in range(1, 10))]
     with open(f"{tmp_path}/seen") as file:
         assert len(file.readlines()) <= 20  # at most twice each, however many rounds there are
+
+
+def test_labels_not_broadcast(spark):
+    found = labelled_entries(*crawl_tables(spark))
+    assert [(int(r["size"]), r["packages"]) for r in found.collect()] == [(0, ["a"])]
+    assert "BroadcastExchange" not in final_plan(found)
