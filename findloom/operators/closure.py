@@ -10,6 +10,8 @@ from findloom.sources.shared import shared_dir
 
 #: Rounds after which what has been visited is written as one table.
 FOLD = 8
+#: Nodes that are broadcast at most; more are joined by sorting.
+BROADCAST = 20_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -20,19 +22,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _sized(nodes: DataFrame, count: int) -> DataFrame:
+    """Nodes for a join. Spark's own guess would take edges, which it can't size, for the small side."""
+    return nodes.select("node").hint("broadcast" if count <= BROADCAST else "merge")
+
+
 def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Nodes that seeds (column node) reach over edges (src, dst), themselves included, with the round that found them.
 
-    Cycles and self-references end because a node is visited once. Rounds are joins; only whether there
-    was anything new reaches the driver.
+    Cycles and self-references end because a node is visited once. Rounds are joins; how many new nodes there are
+    reaches the driver, and the nodes themselves while they are few. Edges never do.
     """
     frontier = checkpointed(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
-    visited, depth = frontier, 0
-    while not frontier.isEmpty() and (max_rounds is None or depth < max_rounds):
+    visited, depth, new = frontier, 0, frontier.count()
+    seen = new
+    while new and (max_rounds is None or depth < max_rounds):
         depth += 1
-        found = frontier.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).filter("node is not null")
-        frontier = checkpointed(found.distinct().join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        visited = visited.unionAll(frontier)
+        found = edges.join(_sized(frontier, new), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).filter("node is not null")
+        frontier = checkpointed(found.distinct().join(_sized(visited, seen), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.count()
+        visited, seen = visited.unionAll(frontier), seen + new
         if depth % FOLD == 0:
             visited = checkpointed(visited)
     return visited

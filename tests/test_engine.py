@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from findloom import api
 from findloom.__main__ import parser, run
 from findloom.errors import EngineIOError, InvalidDatabaseError, ManifestError, UsageError
+from findloom.operators import closure as closing
 from findloom.operators.closure import closure, labelled_entries
 from findloom.operators.index import assign_blocks, postings, search_index
 from findloom.plans import library_queries
@@ -271,3 +272,18 @@ def test_labels_not_broadcast(spark):
     found = labelled_entries(*crawl_tables(spark))
     assert [(int(r["size"]), r["packages"]) for r in found.collect()] == [(0, ["a"])]
     assert "BroadcastExchange" not in final_plan(found)
+
+
+@pytest.mark.parametrize(("most", "sides"), [(20_000, {"BuildRight"}), (4, {"BuildRight"}), (0, set())])
+def test_closure_edges_not_broadcast(spark, monkeypatch, most, sides):
+    steps, write = [], closing.checkpointed
+    monkeypatch.setattr(closing, "checkpointed", lambda df: (write(df), steps.append(df))[0])
+    monkeypatch.setattr(closing, "BROADCAST", most, raising=False)
+    edges = spark.range(40).select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 3 % 40, (F.col("id") + 9) % 40)).alias("dst"))
+    got = {r["node"]: r["depth"] for r in closure(spark.range(1, 3).select(F.col("id").alias("node")), edges).collect()}
+    depths, front = {1: 0, 2: 0}, [1, 2]
+    while front:
+        front = [depths.setdefault(x, depths[n] + 1) and x for n in front for x in (n * 3 % 40, (n + 9) % 40) if x not in depths]
+    assert got == depths
+    joins = [x for df in steps for x in final_plan(df).split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in x]
+    assert {side for x in joins for side in ("BuildLeft", "BuildRight") if side in x} == sides
