@@ -120,6 +120,11 @@ def folder_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(walk.package_files(outputs), ["path"], "package", "owners").withColumn("owners", F.array_join("owners", ","))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt out to tasks, as one task may read the whole file."""
+    return table(spark, sf_dir, "part").repartition("p_partkey")
+
+
 @query(r"""
     WITH p AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') AS name, p_size AS v FROM part)
     SELECT CASE WHEN k % 5 = 0 THEN 'top' ELSE name END AS attr, name AS pname, v::VARCHAR AS version, 'out' AS output, '/store/h' || k || '-' || name || '-' || v AS store_path, 'h' || k AS hash FROM p
@@ -130,7 +135,7 @@ def enumeration_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     output = lambda out, letter, end: F.struct(F.lit(out).alias("_name"), F.concat(F.lit(f"/store/{letter}"), key, F.lit("-"), name, F.lit("-"), size, F.lit(end)).alias("_path"))
     man = F.when(F.col("p_partkey") % 2 == 0, F.array(output("man", "m", "-man"))).otherwise(F.array())
     outputs = F.concat(F.array(output("out", "h", ""), output("", "n", "")), man)
-    items = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 5 != 0, name).alias("_attrPath"), F.lit("x").alias("_system"), outputs.alias("output"))
+    items = _dealt(spark, sf_dir).select(F.when(F.col("p_partkey") % 5 != 0, name).alias("_attrPath"), F.lit("x").alias("_system"), outputs.alias("output"))
     path = scratch(spark, "enumeration")
     items.write.format("xml").option("rootTag", "items").option("rowTag", "item").save(path)
     return crawl.read_enumerations(spark, [("top", path)]).select("attr", "pname", "version", "output", "store_path", "hash")
@@ -149,11 +154,6 @@ def reference_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hash", "store_path", "nar_url", F.array_join("references", ",").alias("refs"))
 
 
-def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts dealt out to tasks, as one task may read the whole file."""
-    return table(spark, sf_dir, "part").repartition("p_partkey")
-
-
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of each part: hash and value."""
     value = F.concat(

@@ -17,6 +17,27 @@ from findloom.schemas import LISTING, MAX_SIZE
 #: Entries of listings that leave Python at once.
 ROWS = 10_000
 _ITEM = "_attrPath string, _system string, output array<struct<_name string, _path string>>"
+#: A start tag's attributes. Comments, CDATA, declarations and instructions, but for the first line's, can hold what looks like tags.
+_ATTRIBUTES = r"""(?:\s++[^\s=<>"'/]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+\s*+"""
+_HIDING = r"<!|<\?(?!xml\s)"
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of an enumeration file in its order: _attrPath, _system and output.
+
+    The XML reader gives a file to one task whole, so the text is cut where items begin and each piece is parsed.
+    Files with markup that could hide where an item begins or ends go to the XML reader. Of an item that isn't
+    well-formed nothing is read.
+    """
+    pieces = spark.read.schema("value string").text(path, lineSep="<item")
+    closed = F.regexp_count("value", F.lit(r"</item[\s>]"))
+    plain = F.rlike("value", F.lit(f"^{_ATTRIBUTES}>")) & (closed == 1) & F.contains("value", F.lit("</item>"))
+    empty = F.rlike("value", F.lit(f"^{_ATTRIBUTES}/>")) & (closed == 0)
+    odd = F.rlike("value", F.lit(_HIDING)) | (F.rlike("value", F.lit(r"^[\s/>]")) & ~plain & ~empty)
+    if pieces.agg(F.bool_or(odd)).first()[0]:
+        return spark.read.format("xml").schema(_ITEM).option("rowTag", "item").load(path)
+    text = F.concat(F.lit("<item"), F.substring_index("value", "</item>", 1), F.lit("</item>"))
+    return pieces.filter(plain).select(F.from_xml(text, _ITEM).alias("item")).select("item.*")
 
 
 def read_enumeration(spark: SparkSession, path: str, attr: str = "", run: int = 0) -> DataFrame:
@@ -24,12 +45,11 @@ def read_enumeration(spark: SparkSession, path: str, attr: str = "", run: int =
 
     ``attr`` stands in for items without an attribute path. ordinal rises in file order.
     """
-    items = spark.read.format("xml").schema(_ITEM).option("rowTag", "item").load(path)
-    rows = items.select(
+    rows = _items(spark, path).select(
         F.when(F.coalesce("_attrPath", F.lit("")) != "", F.col("_attrPath")).otherwise(F.lit(attr)).alias("attr"),
         F.coalesce("_system", F.lit("")).alias("system"),
         F.monotonically_increasing_id().alias("item"),
-        F.posexplode("output").alias("position", "out"),
+        F.posexplode_outer("output").alias("position", "out"),  # a plain one has each item parsed again, for a filter on the array's size
     ).select("attr", "system", F.struct("item", "position").alias("ordinal"), F.col("out._name").alias("output"), F.col("out._path").alias("store_path"))
     rows = rows.filter("output <> '' and store_path <> ''")
     name = basename(F.col("store_path"))

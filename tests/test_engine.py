@@ -287,3 +287,40 @@ def test_closure_edges_not_broadcast(spark, monkeypatch, most, sides):
     assert got == depths
     joins = [x for df in steps for x in final_plan(df).split("== Initial Plan ==")[0].splitlines() if "BroadcastHashJoin" in x]
     assert {side for x in joins for side in ("BuildLeft", "BuildRight") if side in x} == sides
+
+
+def xml_item(name, extra=""):
+    return f'<item attrPath="{name}" system="x">\n <output name="out" path="/store/h{name}-é&amp;-1"/>{extra}</item>'
+
+
+@pytest.mark.parametrize("step", [1, 7, 97])
+def test_enumeration_split(spark, tmp_path, step):
+    names = [f"n{'é' * (i % 5)}{i}" for i in range(300)]
+    path = write(f"{tmp_path}/e.xml", "<?xml version='1.0'?>\n<items>\n" + "<item attrPath='none'/>\n".join(map(xml_item, names)) + "\n</items>\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1000 + step))
+        found = crawl.read_enumeration(spark, path)
+        rows = found.orderBy("ordinal").select("attr", "store_path", F.spark_partition_id().alias("task")).collect()
+        tasks = {r["task"] for r in found.select(F.spark_partition_id().alias("task")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r["attr"], r["store_path"]) for r in rows] == [(n, f"/store/h{n}-é&-1") for n in names]
+    assert len(tasks) > 10  # one file isn't one task
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<!-- {xml_item('no')} -->{xml_item('a')}", xml_item("a", "<!-- </item> -->"), xml_item("a", "<![CDATA[</item>]]>"), xml_item("a", xml_item("c")), xml_item("a", "<item/>"),
+        xml_item("a").replace("</item>", "</item >"), f"<itemx attrPath='q'><output name='out' path='/no'/></itemx>{xml_item('a')}", xml_item("a", "<itemx/>"),
+        f"{xml_item('a')}<?p <item attrPath='q'></item> ?>", "<item attrPath='/>'\r\n/><item/>" + xml_item("a", "<meta name='d' value='> &lt;item >'/> words > "),
+    ],
+)
+def test_enumeration_markup(spark, tmp_path, inner):
+    path = write(f"{tmp_path}/e.xml", f"<items>{inner}{xml_item('b')}</items>")
+    listed = lambda items: sorted((r["_attrPath"], r["_system"], *map(tuple, r["output"])) for r in items.collect() if r["output"])
+    whole = spark.read.format("xml").schema(crawl._ITEM).option("rowTag", "item").load(path)
+    assert listed(crawl._items(spark, path)) == listed(whole) == [(n, "x", ("out", f"/store/h{n}-é&-1")) for n in "ab"]
